@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, warc_index
+from . import decontaminate, lm_score, packing, quality_rules, warc_index
 
 QUERIES = {
     "op1_warc_index_merge": warc_index.query,
+    "op5_unbounded_ngram_score": lm_score.query,
     "op6_shortest_pack_first": packing.query,
+    "op7_positional_decontamination": decontaminate.query,
     "op9_rule_bitmask_ledger": quality_rules.query,
     "rule_ablation": quality_rules.ablation_query,
 }
 
 ORACLES = {
     "op1_warc_index_merge": warc_index.ORACLE,
+    "op7_positional_decontamination": decontaminate.ORACLE,
     "op9_rule_bitmask_ledger": quality_rules.ORACLE,
     "rule_ablation": quality_rules.ABLATION_ORACLE,
 }
