@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, packing, quality_rules, warc_index
+from . import decontaminate, lm_score, ngram_join, packing, quality_rules, warc_index
 
 QUERIES = {
     "op1_warc_index_merge": warc_index.query,
+    "op2_adaptive_prefix_join": ngram_join.query,
     "op5_unbounded_ngram_score": lm_score.query,
     "op6_shortest_pack_first": packing.query,
     "op7_positional_decontamination": decontaminate.query,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc_index_merge": warc_index.ORACLE,
+    "op2_adaptive_prefix_join": ngram_join.ORACLE,
     "op7_positional_decontamination": decontaminate.ORACLE,
     "op9_rule_bitmask_ledger": quality_rules.ORACLE,
     "rule_ablation": quality_rules.ABLATION_ORACLE,
