@@ -366,7 +366,7 @@ def _tree(least: int):
                 yield row(length, i, j)
         for i, x in enumerate(order):
             # Copies of a whole text, where it goes on beyond what it shares with other texts.
-            around = max([lcp[i - 1]] * (i > 0) + [lcp[i]] * (i < len(lcp)), default=0)
+            around = max(lcp[max(0, i - 1) : i + 1], default=0)
             if len(docs[x]) > 1 and first[x] and ends[x] >= least and ends[x] > around:
                 yield row(ends[x], i, i)
 
