@@ -415,5 +415,98 @@ def maximal_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     return core.spread(suffixes, p).mapInArrow(_tree(least), _OUT)
 
 
+# -- cutting repeats ---------------------------------------------------------------------------
+
+
+def _joined(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each document, those that touch joined."""
+    o = np.lexsort((lo, doc))
+    doc, lo, hi = doc[o], lo[o], hi[o]
+    rank = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)]))
+    width = int(hi.max()) + 2
+    reach = np.maximum.accumulate(rank * width + hi)
+    first = np.flatnonzero(np.concatenate([[True], rank[1:] * width + lo[1:] > reach[:-1]]))
+    last = np.concatenate([first[1:], [len(doc)]]) - 1
+    return doc[first], lo[first], reach[last] - rank[last] * width
+
+
+def _later(buckets: int):
+    """Spans of all occurrences but the first of each repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        packer = core.Packer(buckets)
+        for b in batches:
+            for n, docs, starts in zip(*[b.column(c).to_pylist() for c in ("n_words", "doc_ids", "starts")]):
+                at = np.array(starts[1:], dtype=np.int64)
+                held.append((np.array(docs[1:], dtype=np.int64), at, at + n))
+                size += len(at)
+            if size > 1 << 20:
+                held = [_joined(*[np.concatenate(c) for c in zip(*held)])]
+                size = 0
+        if held:
+            doc, lo, hi = _joined(*[np.concatenate(c) for c in zip(*held)])
+            yield from packer.add(doc.view(np.uint64), doc, lo.astype(np.uint32), hi.astype(np.uint32))
+        yield from packer.flush()
+
+    return run
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    doc, lo, hi = core.unpack(core.payloads(batches), ["i8", "u4", "u4"])
+    if len(doc):
+        doc, lo, hi = _joined(doc, lo.astype(np.int64), hi.astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+        both = np.stack([lo, hi], axis=1).astype(np.uint32)
+        yield pa.record_batch([pa.array(doc[cuts[:-1]]), pa.array([both[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["doc_id", "spans"])
+
+
+def _cut(text_at: int, chars_at: int):
+    """Take the spans out of the texts; a text of which nothing stays goes as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *cols, spans = batch.columns
+            texts, keep = cols[text_at].to_pylist(), np.ones(batch.num_rows, dtype=bool)
+            for i, found in enumerate(spans.to_pylist()):
+                if found is None:
+                    continue
+                w = core.words_of(pa.array([texts[i]], pa.string()), fold=False)
+                data, parts, at = texts[i].encode(), [], 0
+                for lo, hi in np.frombuffer(found, np.uint32).reshape(-1, 2).tolist():
+                    parts.append(data[at : int(w.start[lo])])
+                    at = int(w.start[hi]) if hi < len(w.start) else len(data)
+                texts[i] = b"".join([*parts, data[at:]]).decode()
+                keep[i] = texts[i].strip() != ""
+            cols[text_at] = pa.array(texts, cols[text_at].type)
+            if chars_at >= 0:
+                n = np.asarray([None if t is None else len(t) for t in texts], dtype=object)
+                cut = np.asarray([s is not None for s in spans.to_pylist()], dtype=bool)
+                old = cols[chars_at].to_pylist()
+                cols[chars_at] = pa.array([x if c else y for x, y, c in zip(n, old, cut)], cols[chars_at].type)
+            yield pa.record_batch(cols, names=batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return run
+
+
+def without_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+    """``docs`` with every repeat of ``least`` words or more left only where it is first (by doc_id and place).
+
+    All columns stay; ``n_chars``, where there is one, follows the text.  A text of which nothing is left
+    goes.  Rows without a doc_id, and doc_ids with several texts, stay as they are.
+    """
+    p = core.parts(docs.sparkSession)
+    ids = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "xxhash64(text) AS h")
+    several = ids.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id")
+    later = core.spread(maximal_repeats(docs, least=least).mapInArrow(_later(p), core.PACKED), p)
+    spans = later.mapInArrow(_spans, "doc_id bigint, spans binary").join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", "of")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    joined = docs.toDF(*names).join(spans, F.col(f"c{doc_at}").cast("bigint") == F.col("of"), "left").drop("of")
+    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return joined.mapInArrow(_cut(text_at, chars_at), fields).toDF(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maximal_repeats(core.table(spark, sf_dir, "documents"))
