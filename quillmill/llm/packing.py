@@ -30,37 +30,44 @@ RANK_GROUPS = 64
 
 
 def place(histogram: dict[int, int], max_len: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Patterns and their counts.  Work depends on the number of lengths, not of documents."""
-    open_: dict[int, list[list]] = {}
-    room = [0]  # a max-heap of the rooms that have open packs
-    heap: list[int] = []
+    """Patterns and their counts.  Work depends on the number of lengths, not of documents.
+
+    The same packs as if each piece, longest first, went into the pack with the most room, or into a
+    new one where it fits into none.
+    """
+    open_: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+    heap: list[int] = []  # the rooms that have open packs, largest first
+
+    def put(space: int, count: int, pattern: tuple[int, ...]) -> None:
+        if not open_.get(space):
+            heapq.heappush(heap, -space)
+        open_.setdefault(space, []).append((count, pattern))
+
     for length in sorted((k for k, v in histogram.items() if v > 0), reverse=True):
         left = histogram[length]
-        placed: list[tuple[int, list]] = []
         while left:
             while heap and not open_.get(-heap[0]):
                 heapq.heappop(heap)
             space = -heap[0] if heap else 0
             if space < length:
-                placed.append((max_len - length, [left, (length,)]))
-                left = 0
+                # New packs one after the other: each takes as many of this length as it can.
+                each = max_len // length
+                if left >= each:
+                    put(max_len - each * length, left // each, (length,) * each)
+                if left % each:
+                    put(max_len - left % each * length, 1, (length,) * (left % each))
                 break
             count, pattern = open_[space].pop()
             use = min(count, left)
             if use < count:
-                open_[space].append([count - use, pattern])
-            placed.append((space - length, [use, pattern + (length,)]))
+                open_[space].append((count - use, pattern))
+            put(space - length, use, (*pattern, length))
             left -= use
-        for space, entry in placed:
-            if space not in open_ or not open_[space]:
-                heapq.heappush(heap, -space)
-            open_.setdefault(space, []).append(entry)
-    del room
     found: dict[tuple[int, ...], int] = {}
     for entries in open_.values():
         for count, pattern in entries:
             found[pattern] = found.get(pattern, 0) + count
-    return sorted(((c, p) for p, c in found.items()), key=lambda x: (tuple(-v for v in x[1])))
+    return sorted(((c, p) for p, c in found.items()), key=lambda x: tuple(-v for v in x[1]))
 
 
 def intervals(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple]:

@@ -1,0 +1,246 @@
+"""The other corpus operators against brute force, and their edge cases."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillmill.llm import decontaminate, licenses, lm_score, ngram_join, packing, quality_rules, toxicity, warc_index
+
+DOCS = "doc_id bigint, text string, tokens int, name string"
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame([(*r, *[None] * (4 - len(r))) for r in rows] if schema == DOCS else rows, schema)
+
+
+EDGES = [(None, "a b c d"), (901, None), (902, ""), (903, "one"), (904, " . ")]
+
+
+# -- 1 -----------------------------------------------------------------------------------------
+
+
+def test_warc_histories(spark):
+    pages = [(1, "http://WWW.a.com/x/", "h1", 5), (2, "https://a.com/x", "h1", 7), (2, "https://a.com/x", "h1", 7), (3, "http://b.a.com/", "h2", None), (4, None, None, 1), (5, "http://a.com/x?utm_source=q", "h3", 6), (None, "http://a.com:80/x#f", "h3", 6)]
+    got = warc_index.capture_histories(spark.createDataFrame(pages, "page_id bigint, url string, html string, capture_ts bigint").repartition(3)).orderBy("global_rank").collect()
+    assert [r.global_rank for r in got] == list(range(1, 8))
+    assert [r.url_key for r in got] == sorted(r.url_key for r in got)
+    mine = [(r.capture_ts, r.page_id, r.capture_seq, r.prev_ts, r.is_revisit) for r in got if r.url_key == "com,a)/x"]
+    assert mine == [(5, 1, 1, None, False), (6, None, 2, 5, False), (6, 5, 3, 6, True), (7, 2, 4, 6, False), (7, 2, 5, 7, True)]
+    assert warc_index.capture_histories(spark.createDataFrame([], "page_id bigint, url string, html string, capture_ts bigint")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_loser_tree(seed):
+    rnd = random.Random(seed)
+    runs = [sorted((rnd.randint(0, 9),) for _ in range(rnd.randint(0, 20))) for _ in range(rnd.randint(0, 7))]
+    assert list(warc_index.merge_runs(runs)) == sorted(x for r in runs for x in r)
+
+
+# -- 2 -----------------------------------------------------------------------------------------
+
+
+def shingle_set(text, n=3):
+    w = (text or "").lower().split()
+    return {tuple(w)} - {()} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+@pytest.mark.parametrize("seed,threshold", [(1, 0.5), (2, 0.3), (3, 0.8)])
+def test_jaccard_join(spark, seed, threshold):
+    rnd = random.Random(seed)
+    docs = [(i, " ".join(rnd.choice("abcdefghij") * 2 for _ in range(rnd.randint(1, 40)))) for i in range(25)]
+    for k in range(40):
+        w = rnd.choice(docs)[1].split()
+        w = [x if rnd.random() > 0.1 else "new" for x in w]
+        docs.append((100 + k, " ".join(w)))
+    docs += [(300, docs[0][1]), (301, docs[0][1]), docs[3], (5, docs[9][1])]
+    got = {(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngram_join.near_pairs(frame(spark, docs + EDGES), threshold=threshold).collect()}
+    sets = sorted({(d, frozenset(shingle_set(t))) for d, t in docs + [(903, "one")]}, key=lambda x: x[0])
+    want = set()
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1 :]:
+            if x and y and a != b and len(x & y) / len(x | y) >= threshold:
+                want.add((min(a, b), max(a, b), round(len(x & y) / len(x | y), 9)))
+    assert got == want
+
+
+def test_join_tiles(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{j}" for j in range(60)) + f" t{i}") for i in range(20)]
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 200)
+    assert ngram_join.near_pairs(frame(spark, docs)).count() == 190
+    assert sorted(r.doc_id for r in ngram_join.representatives(frame(spark, docs)).collect()) == list(range(1, 20))
+    assert ngram_join.near_pairs(frame(spark, [])).count() == 0
+
+
+# -- 4 -----------------------------------------------------------------------------------------
+
+
+def test_toxicity_on_held_out_texts(spark):
+    """Texts of syllables, some with insults: trained on half of them, right on at least 95 % of the others."""
+    rnd = random.Random(5)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3)))
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        w = [word() for _ in range(rnd.randint(5, 60))]
+        if toxic:
+            for _ in range(2):
+                w.insert(rnd.randint(0, len(w)), rnd.choice(["idiot", "scumbag", "moron"]))
+        rows.append((i, " ".join(w).capitalize() + "."))
+        if i < 300:
+            labels.append((i, int(toxic), 0))
+    known = spark.createDataFrame([*labels, (None, 1, 0), (5, None, 0)], "doc_id bigint, toxic int, text int")
+    docs = frame(spark, rows + EDGES)
+    got = {r.doc_id: r for r in toxicity.score(docs, known).collect()}
+    right = sum(got[i].is_toxic == (i % 4 == 0) for i in range(300, 600))
+    assert right >= 285 and all(not got[i].is_toxic for i in (901, 902, 904, None))
+    kept = toxicity.without_toxic(docs, known)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - sum(r.is_toxic for r in got.values())
+    none = toxicity.score(docs, known.where("toxic = 0")).select("toxicity", "is_toxic").distinct().collect()
+    assert [tuple(r) for r in none] == [(None, False)]
+    assert toxicity.score(frame(spark, []), known).count() == 0
+
+
+# -- 5 -----------------------------------------------------------------------------------------
+
+
+def brute_scores(corpus, query):
+    texts = [t.lower().split() for t in corpus if t]
+    count = lambda s: sum(t[i : i + len(s)] == s for t in texts for i in range(len(t) - len(s) + 1))
+    n, w, logs, ctx = sum(map(len, texts)), query.lower().split(), 0.0, []
+    for i in range(len(w)):
+        p, used = (count(w[i : i + 1]) + 1 / (n + 1)) / (n + 1), 0
+        for m in range(1, i + 1):
+            c = count(w[i - m : i])
+            if not c:
+                break
+            p, used = (count(w[i - m : i + 1]) + p) / (c + 1), m
+        logs += math.log(p)
+        ctx.append(used)
+    return len(w), logs / len(w), max(ctx)
+
+
+@pytest.mark.parametrize("shard_words,slice_bytes", [(40, 1 << 20), (1 << 20, 60)])
+def test_lm_scores(spark, shard_words, slice_bytes):
+    rnd = random.Random(9)
+    corpus = [" ".join(rnd.choice(["a", "b", "c", "dd"]) for _ in range(rnd.randint(0, 30))) for _ in range(20)] + [None, ""]
+    items = [(i, corpus[i] + " zz a b") for i in range(6)] + [(7, "a a a"), (7, "a a a"), (8, None), (9, "")]
+    got = lm_score.score(spark.createDataFrame(items, "item_id bigint, text string"), frame(spark, list(enumerate(corpus))), shard_words=shard_words, slice_bytes=slice_bytes).collect()
+    assert len(got) == len(items)
+    by = {r.item_id: r for r in got}
+    for i, t in items:
+        if not t:
+            assert by[i].mean_log_prob is None and by[i].n_words == 0
+            continue
+        n, mean, longest = brute_scores(corpus, t)
+        assert (by[i].n_words, by[i].longest_context) == (n, longest) and by[i].mean_log_prob == pytest.approx(mean)
+    empty = lm_score.score(spark.createDataFrame(items[:1], "item_id bigint, text string"), frame(spark, [])).collect()
+    assert empty[0].n_unseen == empty[0].n_words
+
+
+# -- 6 -----------------------------------------------------------------------------------------
+
+
+def brute_packs(lengths, size):
+    """The same rule, one document at a time: into the pack with the most room."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        best = max(range(len(rooms)), key=lambda i: rooms[i], default=None)
+        if best is None or rooms[best] < n:
+            rooms.append(size - n)
+        else:
+            rooms[best] -= n
+    return sorted(rooms)
+
+
+def test_packing(spark):
+    rnd = random.Random(3)
+    docs = [(i, " ".join(["w"] * rnd.randint(0, 70))) for i in range(120)] + [(4, "x y"), (4, "x y"), (None, "n u l l"), (901, None), (902, "")]
+    got = packing.pack_documents(frame(spark, docs), max_len=32).collect()
+    words = Counter()
+    packs = defaultdict(list)
+    for r in got:
+        words[r.doc_id] += r.n_words
+        packs[r.pack_id].append(r)
+    want = Counter()
+    pieces = []
+    for d, t in docs:
+        n = len((t or "").split())
+        if n:
+            want[d] += n
+            pieces += [32] * (n // 32) + ([n % 32] if n % 32 else [])
+    assert words == want
+    for rows in packs.values():
+        rows.sort(key=lambda r: r.slot)
+        assert [r.slot for r in rows] == list(range(len(rows)))
+        assert [r.pack_offset for r in rows] == [sum(x.n_words for x in rows[:k]) for k in range(len(rows))]
+    assert sorted(32 - sum(r.n_words for r in rows) for rows in packs.values()) == brute_packs(pieces, 32)
+    assert packing.pack_documents(frame(spark, [])).count() == 0
+
+
+# -- 7 -----------------------------------------------------------------------------------------
+
+
+def test_decontamination_edges(spark):
+    words = [f"t{i}" for i in range(30)]
+    tests = [(1, " ".join(words)), (2, None), (3, ""), (4, "too short")]
+    docs = [(10, "x " + " ".join(words[5:20]) + " y"), (11, " ".join(words[:12])), (12, " ".join(reversed(words))), (13, None), (None, " ".join(words)), (14, "nothing here at all")]
+    got = {tuple(r) for r in decontaminate.matches(frame(spark, docs), spark.createDataFrame(tests, "item_id bigint, text string")).collect()}
+    assert {r for r in got if r[2] == "phrase"} == {(10, 1, "phrase", 1, 5, 15)}
+    assert {r[0] for r in got if r[2] == "near"} == {12}
+    parts = {tuple(r) for r in decontaminate.matches(frame(spark, docs), spark.createDataFrame(tests, "item_id bigint, text string"), slice_bytes=20, shard_words=16).collect()}
+    assert parts == got
+    assert decontaminate.matches(frame(spark, []), spark.createDataFrame(tests, "item_id bigint, text string")).count() == 0
+    assert decontaminate.matches(frame(spark, docs), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+
+
+# -- 8 -----------------------------------------------------------------------------------------
+
+
+def brute_align(a, b):
+    """Score of the best local alignment over the whole matrix."""
+    h = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return int(h.max())
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_banded_alignment(seed):
+    rnd = np.random.default_rng(seed)
+    a = rnd.integers(0, 50, 30)
+    b = np.concatenate([rnd.integers(50, 99, 7), np.delete(a, rnd.integers(0, 30, 3)), rnd.integers(50, 99, 5)])
+    score, matches, i, ei, j, ej = licenses.align(a, b, -20, 25)
+    assert score == brute_align(a, b) and matches <= min(ei - i, ej - j)
+    assert score <= 2 * matches
+
+
+def test_license_scan(spark):
+    mit = licenses.TEMPLATES["MIT"].split()
+    edited = [w for k, w in enumerate(mit) if k % 17]
+    docs = [(1, "foo bar " + " ".join(mit) + " baz"), (2, " ".join(edited)), (3, "plain words"), (4, "Some text.\nReleased under the MIT License."), (4, "Some text.\nReleased under the MIT License.")]
+    got = licenses.scan(frame(spark, docs + EDGES)).collect()
+    full = [r for r in got if r.license == "MIT"]
+    assert {(r.doc_id, r.coverage == 1) for r in full} == {(1, True), (2, False)}
+    one = next(r for r in full if r.doc_id == 1)
+    assert (one.doc_start, one.doc_end - one.doc_start) == (2, one.n_matched)
+    assert [(r.doc_id, r.doc_start) for r in got if r.license == "MIT-notice"] == [(4, 2), (4, 2)]
+    assert licenses.scan(frame(spark, [])).count() == 0 and licenses.scan(frame(spark, docs), {}).count() == 0
+
+
+# -- 9 -----------------------------------------------------------------------------------------
+
+
+def test_rule_ledger(spark):
+    docs = [(1, "ab"), (2, "WORDS THAT SHOUT " * 5), (3, "a plain text of some common words in a row"), (4, None), (3, "a plain text of some common words in a row")]
+    led = quality_rules.ledger(frame(spark, docs))
+    bits = {r.doc_id: r.fail_bits for r in led.collect()}
+    assert bits[3] == 0 and bits[1] & quality_rules.BIT["too_short"] and bits[2] & quality_rules.BIT["shouting"] and bits[4] & quality_rules.BIT["too_short"]
+    table = {(r.policy, r.rule): r for r in quality_rules.ablation(led).collect()}
+    assert table["web_v2", "shouting"].n_failing == 1 and table["web_v2", "shouting"].n_kept_without == 3
+    assert quality_rules.ledger(frame(spark, [])).count() == 0
