@@ -326,11 +326,37 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def _tree(least: int):
+def _by_doubling(parts: list[np.ndarray], at: np.ndarray) -> list[int]:
+    """Order of the suffixes that begin at ``at`` of the joined parts, in memory that grows with the parts only."""
+    size = sum(len(p) + 1 for p in parts)
+    rank = np.empty(size, dtype=np.int64)
+    i = 0
+    for k, p in enumerate(parts):
+        rank[i : i + len(p)] = p.astype(np.int64) + len(parts)
+        rank[i + len(p)] = k  # every part ends in a sign of its own
+        i += len(p) + 1
+    rank = np.unique(rank, return_inverse=True)[1]
+    step = 1
+    while step < size:
+        key = rank * (size + 1)
+        key[:-step] += rank[step:] + 1
+        uniq, rank = np.unique(key, return_inverse=True)
+        if len(uniq) == size:
+            break
+        step *= 2
+    return np.argsort(rank[at], kind="stable").tolist()
+
+
+#: Roots whose suffixes have more words than this in all are sorted by doubling instead of by their bytes.
+SORT_WORDS = 1 << 22
+
+
+def _tree(least: int, sort_words: int):
     """Enhanced suffix array of each root and the scan of its interval tree."""
 
     def scan(members: list[bytes]) -> Iterator[tuple]:
         suffix, left, first, docs, start, ends = [], [], [], [], [], []
+        parts, places, size, total = [], [], 0, 0
         for p in members:
             _, words, m, n, k = np.frombuffer(p, np.int64, 5).tolist()
             at = 40
@@ -341,17 +367,25 @@ def _tree(least: int):
             lim = np.frombuffer(p, np.uint32, n, at + 8 * n).tolist()
             tok = np.frombuffer(p, np.uint32, k, at + 12 * n)
             fs = np.frombuffer(p, np.uint8, n, at + 12 * n + 4 * k).tolist()
-            big = tok.astype(">u4").tobytes()
+            parts.append(tok)
             for i in range(n):
                 o = pos[i] - pos[0]
-                suffix.append((big[4 * o : 4 * (o + lim[i])], tok[o : o + lim[i]]))
+                suffix.append(tok[o : o + lim[i]])
+                places.append(size + o)
+                total += lim[i]
                 left.append(lw[i])
                 first.append(fs[i])
                 docs.append(ids)
                 start.append(pos[i])
                 ends.append(words - pos[i])
-        order = sorted(range(len(suffix)), key=lambda i: suffix[i][0])
-        lcp = [_common(suffix[a][1], suffix[b][1]) for a, b in zip(order, order[1:])]
+            size += len(tok) + 1
+        if total > sort_words:
+            order = _by_doubling(parts, np.array(places))
+        else:
+            keys = [x.astype(">u4").tobytes() for x in suffix]
+            order = sorted(range(len(suffix)), key=keys.__getitem__)
+            del keys
+        lcp = [_common(suffix[a], suffix[b]) for a, b in zip(order, order[1:])]
         # Places up to i at which the left word changes; a text's start differs from any.
         change = [0]
         for a, b in zip(order, order[1:]):
@@ -390,10 +424,10 @@ def _tree(least: int):
     return run
 
 
-def maximal_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+def maximal_repeats(docs: DataFrame, *, least: int = LEAST, sort_words: int = SORT_WORDS) -> DataFrame:
     """(n_words, n_occurrences, doc_ids, starts): every maximal repeat of at least ``least`` words.
 
-    ``doc_ids`` and ``starts`` (word numbers) go together, in order.
+    ``doc_ids`` and ``starts`` (word numbers) go together, in order.  ``sort_words`` changes how, not what.
     """
     if least < 2:
         raise ValueError("least must be at least 2")
@@ -412,7 +446,7 @@ def maximal_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
         asked.selectExpr("bucket", "0 AS kind", f"{none} AS name", "payload")
     )
     suffixes = core.spread(both, p).mapInArrow(_suffix_rows(p), core.PACKED)
-    return core.spread(suffixes, p).mapInArrow(_tree(least), _OUT)
+    return core.spread(suffixes, p).mapInArrow(_tree(least, sort_words), _OUT)
 
 
 # -- cutting repeats ---------------------------------------------------------------------------

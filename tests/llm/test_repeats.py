@@ -78,6 +78,13 @@ def test_maximal_repeats(spark, seed, least):
     assert got == maximal(docs, least)
 
 
+@pytest.mark.parametrize("seed,least", [(1, 5), (5, 12)])
+def test_maximal_repeats_by_doubling(spark, seed, least):
+    docs = corpus(seed)
+    rows = suffix_repeats.maximal_repeats(spark.createDataFrame(docs, SCHEMA), least=least, sort_words=0).collect()
+    assert {(r.n_words, r.n_occurrences, tuple(zip(r.doc_ids, r.starts))) for r in rows} == maximal(docs, least)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert recompression.repeated_spans(none).count() == 0
