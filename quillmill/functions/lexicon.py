@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
@@ -56,6 +57,11 @@ PLEASANTRIES = (
     (r"\blet me know if\b", "if"),
 )
 
+_HINTS = tuple(
+    """important to|noted that|noting that|please note|be aware that|as you |needless to|matter of fact|in mind that|fact that|in order to|event that|
+    point in time|purpose of|regard to|respect to|terms of|number of|near future|regular basis|hope this|feel free|me know if""".replace("\n    ", "").split("|")
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -106,9 +112,14 @@ class PatternRule(Rule):
 
 @dataclass(frozen=True)
 class PhraseRule(Rule):
-    """Phrases are replaced in order, whatever the budget, once a common pattern has seen any of them."""
+    """Phrases are replaced in order, whatever the budget.
+
+    A text that holds none of ``hints`` (lower-case literals, one of which every match must hold) is not
+    searched; without hints a common pattern decides.
+    """
 
     phrases: tuple[tuple[str, str], ...] = ()
+    hints: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         for p, _ in self.phrases:
@@ -120,7 +131,11 @@ class PhraseRule(Rule):
         out = text
         for p, by in self.phrases:
             out = F.regexp_replace(out, f"(?iuU){p}", re.sub(r"\\(\d)", r"$\1", by))
-        return F.when(text.rlike("(?iuU)" + "|".join(f"(?:{p})" for p, _ in self.phrases)), out).otherwise(text)
+        seen = text.rlike("(?iuU)" + "|".join(f"(?:{p})" for p, _ in self.phrases))
+        if self.hints:
+            # Plain substring searches are far cheaper than one case-blind alternation.
+            seen = functools.reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(h)) for h in self.hints])
+        return F.when(seen, out).otherwise(text)
 
 
 class RuleSet:
@@ -217,7 +232,7 @@ ENGLISH = register_language(
     Language(
         "en",
         RuleSet(
-            PhraseRule("pleasantries", PLEASANTRIES), WordClassRule("fillers", FILLERS, 10), WordClassRule("articles", ARTICLES, 20),
+            PhraseRule("pleasantries", PLEASANTRIES, _HINTS), WordClassRule("fillers", FILLERS, 10), WordClassRule("articles", ARTICLES, 20),
             WordClassRule("copulas", COPULAS, 30), WordClassRule("function-words", FUNCTION_WORDS, 40), WordClassRule("pronouns", PRONOUNS, 50),
         ),
         negations=NEGATIONS,
