@@ -186,13 +186,12 @@ def _kept_rows(weights: np.ndarray, intercept: float, sizes: tuple[int, ...], bi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(where)
-            for b in core.slices(pa.record_batch([text], names=["text"]).add_column(0, "doc_id", pa.array(range(batch.num_rows), pa.int64()))):
-                (one,) = scored([b])
-                keep = np.asarray(one.column("toxicity")) < threshold
-                rows = np.asarray(b.column("doc_id"))[keep]
-                if len(rows):
-                    yield batch.take(pa.array(rows))
+            if not batch.num_rows:
+                continue
+            numbered = pa.record_batch([pa.array(range(batch.num_rows), pa.int64()), batch.column(where)], names=["doc_id", "text"])
+            # Parts come in order, however the texts are sliced.
+            p = np.concatenate([np.asarray(part.column("toxicity")) for part in scored([numbered])])
+            yield batch.filter(pa.array(p < threshold))
 
     return run
 

@@ -244,3 +244,13 @@ def test_rule_ledger(spark):
     table = {(r.policy, r.rule): r for r in quality_rules.ablation(led).collect()}
     assert table["web_v2", "shouting"].n_failing == 1 and table["web_v2", "shouting"].n_kept_without == 3
     assert quality_rules.ledger(frame(spark, [])).count() == 0
+
+
+def test_toxicity_keeps_rows_of_many_slices():
+    import pyarrow as pa
+
+    texts = ["a" * 700_000, "b" * 700_000, "c", None] * 3
+    batch = pa.record_batch([pa.array(range(12), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    none = np.zeros(1 << toxicity.BITS)
+    (out,) = toxicity._kept_rows(none, 0.0, toxicity.GRAMS, toxicity.BITS, 0.6, 1)([batch])
+    assert out.column("doc_id").to_pylist() == list(range(12))
