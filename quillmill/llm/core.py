@@ -12,6 +12,7 @@ that Spark runs the same tasks again.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -150,6 +151,30 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
             yield batch.slice(a, b - a)
 
 
+# -- memory ----------------------------------------------------------------------------------
+
+
+def _trim() -> None:
+    """Give freed memory back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(run):
+    """``run`` (a function of batches), with its worker trimmed when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return task
+
+
 # -- packed exchange -------------------------------------------------------------------------
 
 

@@ -231,8 +231,8 @@ def matches(
         vocab, query = np.unique(words.hash, return_inverse=True)
         if not len(vocab):
             continue
-        index = core.kept(docs.mapInArrow(_index(vocab, shard_words), _INDEX), "index")
-        sizes = index.select("sizes").mapInArrow(_sum_sizes, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        index = core.kept(docs.mapInArrow(core.lean(_index(vocab, shard_words)), _INDEX), "index")
+        sizes = index.select("sizes").mapInArrow(core.lean(_sum_sizes), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
         total = np.zeros(len(vocab), dtype=np.int64)
         for r in sizes:
             total[r.term] = r.n
@@ -241,7 +241,7 @@ def matches(
         name[query] = strings
         rarity = np.empty(len(vocab), dtype=np.int64)
         rarity[sorted(range(len(vocab)), key=lambda i: (total[i], name[i]))] = np.arange(len(vocab))
-        found = index.mapInArrow(_match(part.column("item_id").to_pylist(), words.off, query.astype(np.int64), rarity, p), _OUT)
+        found = index.mapInArrow(core.lean(_match(part.column("item_id").to_pylist(), words.off, query.astype(np.int64), rarity, p)), _OUT)
         out = found if out is None or k == 0 else out.unionByName(found)
     return out
 

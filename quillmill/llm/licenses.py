@@ -205,7 +205,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, gram: int
     if sum(len(t.encode()) for t in templates.values()) > MAX_TEMPLATE_BYTES:
         raise ValueError(f"templates hold more than {MAX_TEMPLATE_BYTES} bytes")
     base = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
-    return base.mapInArrow(_scan(Index(templates, gram, window), band, coverage), _OUT)
+    return base.mapInArrow(core.lean(_scan(Index(templates, gram, window), band, coverage)), _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def pack_documents(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     spark = docs.sparkSession
     base = core.pick(docs, "doc_id", "text")
     kind = base.schema["doc_id"].dataType.simpleString()
-    counts = core.kept(base.mapInArrow(_counts, f"doc_id {kind}, words bigint").where("words > 0"), "lengths")
+    counts = core.kept(base.mapInArrow(core.lean(_counts), f"doc_id {kind}, words bigint").where("words > 0"), "lengths")
     pieces = counts.selectExpr("doc_id", "words", f"explode(sequence(0L, (words - 1) div {max_len})) AS piece").selectExpr(
         "doc_id", "piece", f"piece * {max_len} AS first_word", f"least(words - piece * {max_len}, {max_len}) AS n_words"
     )

@@ -335,16 +335,16 @@ def repeated_spans(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     base = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr(
         "xxhash64(CAST(doc_id AS BIGINT), text) AS name", "CAST(doc_id AS BIGINT) AS doc_id", "text"
     )
-    counted = core.spread(base.select("name", "text").mapInArrow(_count_rows(least, p), core.PACKED), p)
+    counted = core.spread(base.select("name", "text").mapInArrow(core.lean(_count_rows(least, p)), core.PACKED), p)
     none = "CAST(NULL AS BIGINT)"
-    flags = counted.mapInArrow(_shared(p), core.PACKED).selectExpr(
+    flags = counted.mapInArrow(core.lean(_shared(p)), core.PACKED).selectExpr(
         "bucket", "0 AS kind", f"{none} AS name", f"{none} AS doc_id", "payload", "CAST(NULL AS STRING) AS text"
     )
-    rows = base.mapInArrow(_with_bucket(p), _ROWS).unionByName(flags)
-    sent = core.kept(core.spread(rows, p).mapInArrow(_windows(least, p), _SENT), "windows")
-    equal = core.spread(sent.where("kind = 0").select("bucket", "payload"), p).mapInArrow(_equal(p), core.PACKED)
+    rows = base.mapInArrow(core.lean(_with_bucket(p)), _ROWS).unionByName(flags)
+    sent = core.kept(core.spread(rows, p).mapInArrow(core.lean(_windows(least, p)), _SENT), "windows")
+    equal = core.spread(sent.where("kind = 0").select("bucket", "payload"), p).mapInArrow(core.lean(_equal(p)), core.PACKED)
     every = sent.where("kind = 1").select("bucket", "payload").unionByName(equal)
-    return core.spread(every, p).mapInArrow(_merge(least), _SPANS).distinct()
+    return core.spread(every, p).mapInArrow(core.lean(_merge(least)), _SPANS).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -435,18 +435,18 @@ def maximal_repeats(docs: DataFrame, *, least: int = LEAST, sort_words: int = SO
     gram = max(1, least // 2)
     p = core.parts(spark)
     base = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("xxhash64(text) AS name", "CAST(doc_id AS BIGINT) AS doc_id", "text")
-    posted = core.spread(base.select("name", "text").mapInArrow(_anchor_rows(least, gram, p), core.PACKED), p)
-    flags = posted.mapInArrow(_shared(p), core.PACKED)
-    rows = base.mapInArrow(_with_bucket(p), _ROWS)
+    posted = core.spread(base.select("name", "text").mapInArrow(core.lean(_anchor_rows(least, gram, p)), core.PACKED), p)
+    flags = posted.mapInArrow(core.lean(_shared(p)), core.PACKED)
+    rows = base.mapInArrow(core.lean(_with_bucket(p)), _ROWS)
     none = "CAST(NULL AS BIGINT)"
     rows = rows.unionByName(flags.selectExpr("bucket", "0 AS kind", f"{none} AS name", f"{none} AS doc_id", "payload", "CAST(NULL AS STRING) AS text"))
-    regions = core.kept(core.spread(rows, p).mapInArrow(_regions(least, gram), _REGION), "regions")
-    asked = core.spread(regions.mapInArrow(_start_rows(least, p), core.PACKED), p).mapInArrow(_roots(p), core.PACKED)
-    both = regions.mapInArrow(_region_rows(p), "bucket int, kind int, name bigint, payload binary").unionByName(
+    regions = core.kept(core.spread(rows, p).mapInArrow(core.lean(_regions(least, gram)), _REGION), "regions")
+    asked = core.spread(regions.mapInArrow(core.lean(_start_rows(least, p)), core.PACKED), p).mapInArrow(core.lean(_roots(p)), core.PACKED)
+    both = regions.mapInArrow(core.lean(_region_rows(p)), "bucket int, kind int, name bigint, payload binary").unionByName(
         asked.selectExpr("bucket", "0 AS kind", f"{none} AS name", "payload")
     )
-    suffixes = core.spread(both, p).mapInArrow(_suffix_rows(p), core.PACKED)
-    return core.spread(suffixes, p).mapInArrow(_tree(least, sort_words), _OUT)
+    suffixes = core.spread(both, p).mapInArrow(core.lean(_suffix_rows(p)), core.PACKED)
+    return core.spread(suffixes, p).mapInArrow(core.lean(_tree(least, sort_words)), _OUT)
 
 
 # -- cutting repeats ---------------------------------------------------------------------------
@@ -532,14 +532,14 @@ def without_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     p = core.parts(docs.sparkSession)
     ids = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "xxhash64(text) AS h")
     several = ids.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id")
-    later = core.spread(maximal_repeats(docs, least=least).mapInArrow(_later(p), core.PACKED), p)
-    spans = later.mapInArrow(_spans, "doc_id bigint, spans binary").join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", "of")
+    later = core.spread(maximal_repeats(docs, least=least).mapInArrow(core.lean(_later(p)), core.PACKED), p)
+    spans = later.mapInArrow(core.lean(_spans), "doc_id bigint, spans binary").join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", "of")
     names = [f"c{i}" for i in range(len(docs.columns))]
     doc_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
     joined = docs.toDF(*names).join(spans, F.col(f"c{doc_at}").cast("bigint") == F.col("of"), "left").drop("of")
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return joined.mapInArrow(_cut(text_at, chars_at), fields).toDF(*docs.columns)
+    return joined.mapInArrow(core.lean(_cut(text_at, chars_at)), fields).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,19 +80,19 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int, features: int, min
     """(features, weights times ratios, intercept) of texts given by their features."""
     if not toxic.any() or toxic.all():
         return None
-    ids = np.concatenate(rows).astype(np.int64)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    p = np.bincount(ids[toxic[doc]], minlength=1 << bits)
-    q = np.bincount(ids[~toxic[doc]], minlength=1 << bits)
+    # A text's features are distinct, so counts grow row by row and no joined copy is held.
+    p, q = np.zeros(1 << bits), np.zeros(1 << bits)
+    for ids, bad in zip(rows, toxic.tolist()):
+        (p if bad else q)[ids] += 1
     r = np.log((p + 1.0) / (p + 1.0).sum()) - np.log((q + 1.0) / (q + 1.0).sum())
     sure = np.abs(r) / np.sqrt(1 / (p + 1.0) + 1 / (q + 1.0))
     sure[p + q < min_texts] = 0
     chosen = np.sort(np.argsort(-sure, kind="stable")[:features])
     chosen = chosen[sure[chosen] > 0]
-    place = np.full(1 << bits, -1)
+    place = np.full(1 << bits, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    keep = place[ids] >= 0
-    col, row = place[ids[keep]], doc[keep]
+    cols = [c[c >= 0] for c in (place[ids] for ids in rows)]
+    row, col = np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols)
     x = r[chosen][col]
     n, y = len(rows), toxic.astype(np.float64)
     share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())  # both classes weigh alike
@@ -140,8 +140,8 @@ def train(
     some = some.groupBy("doc_id", "toxic").agg(F.count("*").alias("n"))
     texts = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic", "n").agg(F.min("text").alias("text"))
     each = texts.selectExpr("toxic", "text", "explode(sequence(1L, n)) AS k").select("toxic", "text")
-    model = each.mapInArrow(_features(sizes, bits), "toxic int, body binary").repartition(1).sortWithinPartitions("toxic", "body")
-    got = model.mapInArrow(_fit_rows(bits, features, min_texts, penalty), _MODEL).toArrow()
+    model = each.mapInArrow(core.lean(_features(sizes, bits)), "toxic int, body binary").repartition(1).sortWithinPartitions("toxic", "body")
+    got = model.mapInArrow(core.lean(_fit_rows(bits, features, min_texts, penalty)), _MODEL).toArrow()
     if not got.num_rows:
         return None
     feature, weight = np.asarray(got.column("feature").combine_chunks()), np.asarray(got.column("weight").combine_chunks())
@@ -177,7 +177,7 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, s
     if model is None:
         return base.selectExpr("doc_id", "CAST(NULL AS DOUBLE) AS toxicity", "false AS is_toxic")
     kind = base.schema["doc_id"].dataType.simpleString()
-    scored = base.mapInArrow(_score(*model, sizes, bits), f"doc_id {kind}, toxicity double")
+    scored = base.mapInArrow(core.lean(_score(*model, sizes, bits)), f"doc_id {kind}, toxicity double")
     return scored.select("doc_id", "toxicity", (F.col("toxicity") >= threshold).alias("is_toxic"))
 
 
@@ -201,7 +201,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
     model = train(docs, labels, sizes=sizes, bits=bits, **options)
     if model is None:
         return docs
-    return docs.mapInArrow(_kept_rows(*model, sizes, bits, threshold, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(core.lean(_kept_rows(*model, sizes, bits, threshold, docs.columns.index("text"))), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

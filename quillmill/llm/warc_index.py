@@ -165,7 +165,7 @@ def capture_histories(pages: DataFrame) -> DataFrame:
     )
     runs = core.kept(entries.sortWithinPartitions("url_key", "capture_ts", "page_id", "url", "digest"), "runs")
     ranges = runs.repartitionByRange(core.parts(spark), "url_key")
-    merged = core.kept(ranges.mapInArrow(_merge, _SCHEMA), "merged")
+    merged = core.kept(ranges.mapInArrow(core.lean(_merge), _SCHEMA), "merged")
     sizes = merged.groupBy("range_id").agg(F.count("*").alias("n"))
     # One row a range: bounded by the number of partitions.
     starts = sizes.select("range_id", (F.sum("n").over(Window.orderBy("range_id")) - F.col("n")).alias("start"))
