@@ -351,10 +351,10 @@ def _by_doubling(parts: list[np.ndarray], at: np.ndarray) -> list[int]:
 SORT_WORDS = 1 << 22
 
 
-def _tree(least: int, sort_words: int):
-    """Enhanced suffix array of each root and the scan of its interval tree."""
+def _array(sort_words: int):
+    """Enhanced suffix array of a root: order, common prefixes, and what each suffix is."""
 
-    def scan(members: list[bytes]) -> Iterator[tuple]:
+    def build(members: list[bytes]) -> tuple:
         suffix, left, first, docs, start, ends = [], [], [], [], [], []
         parts, places, size, total = [], [], 0, 0
         for p in members:
@@ -385,7 +385,17 @@ def _tree(least: int, sort_words: int):
             keys = [x.astype(">u4").tobytes() for x in suffix]
             order = sorted(range(len(suffix)), key=keys.__getitem__)
             del keys
-        lcp = [_common(suffix[a], suffix[b]) for a, b in zip(order, order[1:])]
+        return order, [_common(suffix[a], suffix[b]) for a, b in zip(order, order[1:])], left, first, docs, start, ends
+
+    return build
+
+
+def _tree(least: int, sort_words: int):
+    """The scan of each root's interval tree."""
+    build = _array(sort_words)
+
+    def scan(members: list[bytes]) -> Iterator[tuple]:
+        order, lcp, left, first, docs, start, ends = build(members)
         # Places up to i at which the left word changes; a text's start differs from any.
         change = [0]
         for a, b in zip(order, order[1:]):
@@ -429,6 +439,11 @@ def maximal_repeats(docs: DataFrame, *, least: int = LEAST, sort_words: int = SO
 
     ``doc_ids`` and ``starts`` (word numbers) go together, in order.  ``sort_words`` changes how, not what.
     """
+    return core.spread(_suffixes(docs, least), core.parts(docs.sparkSession)).mapInArrow(core.lean(_tree(least, sort_words)), _OUT)
+
+
+def _suffixes(docs: DataFrame, least: int) -> DataFrame:
+    """Packed suffixes of every root."""
     if least < 2:
         raise ValueError("least must be at least 2")
     spark = docs.sparkSession
@@ -445,8 +460,7 @@ def maximal_repeats(docs: DataFrame, *, least: int = LEAST, sort_words: int = SO
     both = regions.mapInArrow(core.lean(_region_rows(p)), "bucket int, kind int, name bigint, payload binary").unionByName(
         asked.selectExpr("bucket", "0 AS kind", f"{none} AS name", "payload")
     )
-    suffixes = core.spread(both, p).mapInArrow(core.lean(_suffix_rows(p)), core.PACKED)
-    return core.spread(suffixes, p).mapInArrow(core.lean(_tree(least, sort_words)), _OUT)
+    return core.spread(both, p).mapInArrow(core.lean(_suffix_rows(p)), core.PACKED)
 
 
 # -- cutting repeats ---------------------------------------------------------------------------
@@ -464,23 +478,63 @@ def _joined(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[first], lo[first], reach[last] - rank[last] * width
 
 
-def _later(buckets: int):
-    """Spans of all occurrences but the first of each repeat."""
+def _later(least: int, sort_words: int, buckets: int):
+    """Spans of all occurrences but the first of each repeat.
+
+    One span for each occurrence is enough: that of the smallest interval in which it isn't first.  Inner
+    intervals come before outer ones and leave only their first occurrence to them, so the work grows
+    with the suffixes, however many repeats a self-repeating text has.
+    """
+    build = _array(sort_words)
+
+    def scan(members: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        order, lcp, _, first, docs, start, ends = build(members)
+        inner = [0] * len(order)  # the longest repeat at each place of the order
+        open_: list[list[int]] = []  # for each open stretch of the order: its first place, and the place of its first occurrence
+        for length, i, j in intervals(lcp):
+            if length < least:
+                continue
+            lead = []
+            at = j
+            while at >= i:
+                if open_ and open_[-1][0] <= at <= open_[-1][2]:
+                    low, who, _ = open_.pop()
+                    lead.append(who)
+                    at = low - 1
+                else:
+                    lead.append(at)
+                    inner[at] = length
+                    at -= 1
+            best = min(lead, key=lambda k: (docs[order[k]][0], start[order[k]]))
+            for k in lead:
+                if k != best:
+                    x = order[k]
+                    yield docs[x][0], start[x], start[x] + length
+            open_.append([i, best, j])
+        for k, x in enumerate(order):
+            for d in docs[x][1:]:  # further copies of a text
+                n = max(inner[k], ends[x] if first[x] and ends[x] >= least else 0)
+                if n:
+                    yield d, start[x], start[x] + n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        packer = core.Packer(buckets)
-        for b in batches:
-            for n, docs, starts in zip(*[b.column(c).to_pylist() for c in ("n_words", "doc_ids", "starts")]):
-                at = np.array(starts[1:], dtype=np.int64)
-                held.append((np.array(docs[1:], dtype=np.int64), at, at + n))
-                size += len(at)
-            if size > 1 << 20:
-                held = [_joined(*[np.concatenate(c) for c in zip(*held)])]
-                size = 0
-        if held:
-            doc, lo, hi = _joined(*[np.concatenate(c) for c in zip(*held)])
+        groups: dict[int, list[bytes]] = {}
+        for p in core.payloads(batches):
+            groups.setdefault(int(np.frombuffer(p, np.int64, 1)[0]), []).append(p)
+        packer, held = core.Packer(buckets), []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            doc, lo, hi = _joined(*np.array(held, dtype=np.int64).T)
             yield from packer.add(doc.view(np.uint64), doc, lo.astype(np.uint32), hi.astype(np.uint32))
+            held.clear()
+
+        for h in list(groups):
+            for row in scan(groups.pop(h)):
+                held.append(row)
+                if len(held) >= 1 << 18:
+                    yield from send()
+        if held:
+            yield from send()
         yield from packer.flush()
 
     return run
@@ -532,7 +586,7 @@ def without_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     p = core.parts(docs.sparkSession)
     ids = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "xxhash64(text) AS h")
     several = ids.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id")
-    later = core.spread(maximal_repeats(docs, least=least).mapInArrow(core.lean(_later(p)), core.PACKED), p)
+    later = core.spread(core.spread(_suffixes(docs, least), p).mapInArrow(core.lean(_later(least, SORT_WORDS, p)), core.PACKED), p)
     spans = later.mapInArrow(core.lean(_spans), "doc_id bigint, spans binary").join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", "of")
     names = [f"c{i}" for i in range(len(docs.columns))]
     doc_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")

@@ -50,3 +50,22 @@ def test_cut_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
     got = {(r.doc_id, r.text, r.n_chars) for r in suffix_repeats.without_repeats(docs, least=20).collect()}
     assert got == {(1, one, None), (3, "x Ä y", 5), (None, one, 1), (5, None, None), (6, one, 0), (6, "other", 0)}
+
+
+def test_cut_against_brute_force(spark):
+    from test_repeats import corpus as repeated
+
+    for seed, least in ((1, 5), (2, 20), (5, 12)):
+        rows = {d: t for d, t, *_ in repeated(seed) if d is not None and d != 3 and t}
+        docs = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+        seen, want = set(), {}
+        for d in sorted(rows):
+            w = rows[d].split()
+            gone = set()
+            for i in range(len(w) - least + 1):
+                if tuple(w[i : i + least]) in seen:
+                    gone |= set(range(i, i + least))
+                seen.add(tuple(w[i : i + least]))
+            want[d] = [x for i, x in enumerate(w) if i not in gone]
+        got = {r.doc_id: r.text.split() for r in suffix_repeats.without_repeats(docs, least=least).collect()}
+        assert got == {d: w for d, w in want.items() if w}
