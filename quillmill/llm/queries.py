@@ -16,6 +16,7 @@ QUERIES = {
     "op9_rule_bitmask_ledger": quality_rules.query,
     "op10_maximal_repeats": suffix_repeats.query,
     "rule_ablation": quality_rules.ablation_query,
+    "benchmark_ngram_score": lm_score.benchmark_query,
 }
 
 ORACLES = {

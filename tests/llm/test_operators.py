@@ -142,6 +142,22 @@ def test_lm_scores(spark, shard_words, slice_bytes):
     assert empty[0].n_unseen == empty[0].n_words
 
 
+def test_lm_scores_of_documents(spark, tmp_path):
+    """Documents are the queries: copies, runs of one word and a text of more words than 16 bits count."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 40))) for _ in range(12)]
+    texts += [texts[0], texts[0] + " new", "a " * 30]
+    frame(spark, [*enumerate(texts), (90, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.item_id: r for r in lm_score.query(spark, str(tmp_path)).collect()}
+    assert set(got) == {*range(len(texts)), 90}
+    for i, t in enumerate(texts):
+        n, mean, longest = brute_scores(texts, t)
+        assert (got[i].n_words, got[i].longest_context, got[i].n_unseen) == (n, longest, 0) and got[i].mean_log_prob == pytest.approx(mean)
+    long = [(1, " ".join(str(rnd.randint(0, 5000)) for _ in range(70_000)))]
+    r = lm_score.score(spark.createDataFrame(long, "item_id bigint, text string"), frame(spark, long)).first()
+    assert (r.n_words, r.longest_context, r.mean_context, r.n_unseen) == (70_000, 69_999, 69_999 / 2, 0)
+
+
 # -- 6 -----------------------------------------------------------------------------------------
 
 
