@@ -6,8 +6,11 @@ over the shards, these counts give the terms' rarity in all training texts.  A t
 window of ``phrase`` words of a test text, or the whole text if it is shorter) is then found by
 taking the list of its rarest term, moved back by the term's offset, and intersecting it with the
 lists of its other terms, rarest first.  Windows that follow each other on one diagonal are joined
-to maximal matches.  Proximity matches need no order: at least ``near_share`` of a test text's
-``near_terms`` rarest terms and ``near_all`` of all its terms within ``near_span`` times its length.
+to maximal matches.  Proximity matches need no order: ``near_all`` of all terms of a test text within
+``near_span`` times its length.  Any such window holds one of the rarest terms that are too many to be
+all lacking, and several of a few more, which picks the places to look at; the best window that starts
+at a term is reported.  With ``gate``, as in the SQL, ``near_share`` of the ``near_terms`` rarest terms
+must be there too, and windows start at one of these: near copies without them are lost.
 
 The index lies in the shared folder; the tests go to each shard, and their size is checked: beyond
 ``slice_bytes`` they are handled in several passes.
@@ -96,6 +99,13 @@ class Lists:
         return (self.keys[i] == want) & (positions >= 0) if len(self.keys) else np.zeros(len(want), dtype=bool)
 
 
+def _between(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The members of sorted ``x`` in any of the ranges (both bounds rise)."""
+    i, j = np.searchsorted(x, lo), np.searchsorted(x, hi)
+    edge = np.bincount(i, minlength=len(x) + 1) - np.bincount(j, minlength=len(x) + 1)
+    return x[np.cumsum(edge)[: len(x)] > 0]
+
+
 def _windows(first: np.ndarray, rarity: np.ndarray, query: np.ndarray, phrase: int, least: int):
     # rarity: the terms' places from the rarest on
     """Start, length and the offsets of the terms, rarest first, of every phrase."""
@@ -150,6 +160,45 @@ def _match(items: list, first: np.ndarray, query: np.ndarray, rarity: np.ndarray
             yield int(d[h]), int(item_of[q[h]]), "phrase", int(start[h]), int(q[h]), int(q[z] + n[z] - q[h])
 
     def near(lists: Lists, owner: np.ndarray, ends: np.ndarray):
+        for item in range(len(items)):
+            a, z = int(first[item]), int(first[item + 1])
+            terms = np.unique(query[a:z])
+            if z - a < p["least"] or len(terms) < 4:
+                continue
+            terms = terms[np.argsort(rarity[terms])]
+            need, span = math.ceil(p["near_all"] * len(terms)), p["near_span"] * (z - a)
+            # A match lacks at most len(terms) - need terms: of the first ``some`` it holds ``held``.
+            lacking = len(terms) - need
+            some = lacking + 1 + (need - 1) // 2
+            held = some - lacking
+            got = [lists.of(int(t)) for t in terms]
+            m = np.sort(np.concatenate(got[:some]))
+            if len(m) < held:
+                continue
+            i = np.flatnonzero(m[held - 1 :] - m[: len(m) - held + 1] < span)
+            if not len(i):
+                continue
+            # Windows with these postings start less than a span before the last and not after the first.
+            lo, hi = m[i + held - 1] - span + 1, m[i] + 1
+            begin = np.unique(np.concatenate([_between(x, lo, hi) for x in got]))
+            stop = np.minimum(begin + span, ends[begin])
+            share = np.zeros(len(begin), dtype=np.int64)
+            for x in got:
+                if len(x):
+                    k = np.searchsorted(x, begin)
+                    share += (k < len(x)) & (x[np.minimum(k, len(x) - 1)] < stop)
+            ok = share >= need
+            yield from best(item, a, begin[ok], share[ok], owner)
+
+    def best(item: int, a: int, begin: np.ndarray, share: np.ndarray, owner: np.ndarray):
+        """Of each document the window with the most terms, the first of them."""
+        d = owner[begin]
+        o = np.lexsort((begin, -share, d))
+        d, begin, share = d[o], begin[o], share[o]
+        for k in np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])).tolist() if len(d) else []:
+            yield int(d[k]), item, "near", int(begin[k]), a, int(share[k])
+
+    def gated(lists: Lists, owner: np.ndarray, ends: np.ndarray):
         for item in range(len(items)):
             a, z = int(first[item]), int(first[item + 1])
             if z - a < p["least"]:
@@ -183,12 +232,7 @@ def _match(items: list, first: np.ndarray, query: np.ndarray, rarity: np.ndarray
             begin, share = begin[ok], share[ok]
             if not len(begin):
                 continue
-            d = owner[begin]
-            o = np.lexsort((begin, -share, d))
-            d, begin, share = d[o], begin[o], share[o]
-            best = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            for k in best.tolist():
-                yield int(d[k]), item, "near", int(begin[k]), a, int(share[k])
+            yield from best(item, a, begin, share, owner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,7 +243,7 @@ def _match(items: list, first: np.ndarray, query: np.ndarray, rarity: np.ndarray
                 ends = np.repeat(starts[1:], np.diff(starts))
                 rows = [
                     (int(ids[d]), items[i], kind, s - int(starts[d]), q - int(first[i]), n)
-                    for gen in (phrases(lists, owner), near(lists, owner, ends))
+                    for gen in (phrases(lists, owner), (gated if p["gate"] else near)(lists, owner, ends))
                     for d, i, kind, s, q, n in gen
                 ]
                 if rows:
@@ -211,7 +255,7 @@ def _match(items: list, first: np.ndarray, query: np.ndarray, rarity: np.ndarray
 
 def matches(
     docs: DataFrame, tests: DataFrame, *, phrase: int = PHRASE, least: int = LEAST, near_terms: int = NEAR_TERMS, near_share: float = NEAR_SHARE,
-    near_all: float = NEAR_ALL, near_span: int = NEAR_SPAN, shard_words: int = SHARD_WORDS, slice_bytes: int = SLICE_BYTES,
+    near_all: float = NEAR_ALL, near_span: int = NEAR_SPAN, gate: bool = False, shard_words: int = SHARD_WORDS, slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Exact and proximity matches of ``tests`` (item_id, text) in ``docs`` (doc_id, text).
 
@@ -222,7 +266,7 @@ def matches(
     docs, tests = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL"), core.pick(tests, "item_id", "text")
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     passes = max(1, math.ceil(size / slice_bytes))
-    p = {"phrase": phrase, "least": least, "near_terms": near_terms, "near_share": near_share, "near_all": near_all, "near_span": near_span}
+    p = {"phrase": phrase, "least": least, "near_terms": near_terms, "near_share": near_share, "near_all": near_all, "near_span": near_span, "gate": gate}
     out = spark.createDataFrame([], _OUT)
     for k in range(passes):
         part = tests.where("text IS NOT NULL").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).toArrow().combine_chunks()
@@ -247,6 +291,12 @@ def matches(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the SQL: near copies pass the gate of the rarest terms."""
+    return matches(core.table(spark, sf_dir, "documents"), core.table(spark, sf_dir, "benchmark"), gate=True)
+
+
+def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every near copy, as in the pipeline."""
     return matches(core.table(spark, sf_dir, "documents"), core.table(spark, sf_dir, "benchmark"))
 
 

@@ -214,6 +214,40 @@ def test_decontamination_edges(spark):
     assert decontaminate.matches(frame(spark, docs), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def brute_near(docs, tests):
+    """(doc, item, start, terms) of the best window of each pair, over all places that hold a term."""
+    out = set()
+    for d, text in docs:
+        for item, test in tests:
+            w, t = text.split(), set(test.split())
+            span = 2 * len(test.split())
+            found = [(-len(t & set(w[i : i + span])), i) for i in range(len(w)) if w[i] in t]
+            if found and -min(found)[0] >= math.ceil(0.6 * len(t)):
+                out.add((d, item, min(found)[1], -min(found)[0]))
+    return out
+
+
+def test_near_copies_that_lack_rare_words(spark):
+    rnd = random.Random(6)
+    common = [f"c{i}" for i in range(25)]
+    tests, docs = [], [(500 + k, " ".join(rnd.choice(common) for _ in range(200))) for k in range(20)]
+    for k in range(30):
+        words = [f"r{k}x{j}" for j in range(8)] + [rnd.choice(common) for _ in range(24)]
+        if k % 2:
+            words.reverse()
+        else:
+            rnd.shuffle(words)
+        tests.append((k, " ".join(words)))
+        copy = [w if rnd.random() > 0.1 * (k % 5) else "new" for w in words]
+        if k < 3:  # over 85 % of the words are there, but not three of the rarest
+            copy = ["new" if w in {f"r{k}x{j}" for j in range(3)} else w for w in words]
+        docs.append((k, " ".join(["before"] * rnd.randint(0, 40) + copy + ["after"] * rnd.randint(0, 40))))
+    got = decontaminate.matches(frame(spark, docs), spark.createDataFrame(tests, "item_id bigint, text string"), shard_words=900).where("kind = 'near'").collect()
+    want = brute_near(docs, tests)
+    assert {(r.doc_id, r.item_id, r.doc_start, r.n_words) for r in got} == want
+    assert {(k, k) for k in range(3)} <= {x[:2] for x in want}
+
+
 # -- 8 -----------------------------------------------------------------------------------------
 
 
