@@ -6,8 +6,12 @@ scanned by all its grams, so any ``GRAM + WINDOW - 1`` words in common with a te
 Hits of one template on neighbouring diagonals (text place less template place) are one candidate.
 A candidate is aligned word by word with the whole template in a band around its diagonals (match
 +2, mismatch -1, gap -1; best local alignment), which gives the matched words, the coverage of the
-template and both spans.  Reported are alignments that cover at least ``coverage`` of the template;
-of alignments of one template that overlap in a text, the one with the highest score.
+template and both spans; what lies left and right of the best alignment is aligned again, so that
+repeated notices are found each.  Alignments of one template in the same order in text and template
+form a chain: a license with something put in its middle is one passage, from its first word to its
+last.  Reported are passages that cover at least ``coverage`` of the template, and shorter ones (cut
+licenses) of at least ``least_words`` words and ``least_share`` of it.  Of passages that overlap in a
+text, whole ones come before cut ones, and then the highest score stays, whatever its template.
 
 Templates are a driver-side table of fixed, checked size (``MAX_TEMPLATE_BYTES``); texts are read once,
 whole, without any exchange.  Cases: null and empty texts match nothing; rows without a doc_id are left
@@ -17,7 +21,8 @@ templates, gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,7 @@ from . import core
 GRAM, WINDOW = 3, 2
 BAND = 16
 COVERAGE = 0.8
+LEAST_WORDS, LEAST_SHARE = 20, 0.25
 MAX_TEMPLATE_BYTES = 4 << 20
 
 _OUT = "doc_id bigint, license string, coverage double, n_matched bigint, score bigint, doc_start bigint, doc_end bigint, template_start bigint, template_end bigint"
@@ -106,6 +112,20 @@ def align(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[int, int,
     return score, matches, i, ei, i + low + d, ej
 
 
+def _apart(rows: Iterable[tuple[tuple, list[tuple[int, int]]]]) -> list[tuple]:
+    """The rows, first come first served, whose spans overlap none before."""
+    kept, starts, ends = [], [], []
+    for row, spans in rows:
+        at = [bisect.bisect_left(ends, a + 1) for a, _ in spans]
+        if all(k == len(starts) or starts[k] >= z for k, (_, z) in zip(at, spans)):
+            kept.append(row)
+            for a, z in spans:
+                k = bisect.bisect_left(starts, a)
+                starts.insert(k, a)
+                ends.insert(k, z)
+    return kept
+
+
 class Index:
     """Templates' words and the inverted index of their fingerprints."""
 
@@ -128,13 +148,13 @@ class Index:
         self.place = np.array(place, dtype=np.int64)[o]
 
 
-def _scan(index: Index, band: int, coverage: float):
+def _scan(index: Index, band: int, coverage: float, least_words: int, least_share: float):
     known: dict[tuple, tuple] = {}
 
-    def one(words: np.ndarray, t: int, low: int, high: int) -> tuple | None:
-        """The alignment of template ``t`` with a text's words around the diagonals low..high."""
+    def one(words: np.ndarray, t: int, low: int, high: int, left: int, right: int) -> tuple:
+        """The best alignment of template ``t`` with a text's words left..right around the diagonals low..high."""
         a = index.words[t]
-        begin, end = max(0, low - band), min(len(words), high + len(a) + band)
+        begin, end = max(left, low - band), min(right, high + len(a) + band)
         b = words[begin:end]
         key = (t, low - begin, high - begin, b.tobytes()) if len(b) < 4096 else None
         got = known.get(key) if key else None
@@ -145,29 +165,65 @@ def _scan(index: Index, band: int, coverage: float):
                     known.clear()
                 known[key] = got
         score, matches, i, ei, j, ej = got
-        if matches < coverage * len(a):
-            return None
-        return index.names[t], matches / len(a), matches, score, begin + j, begin + ej, i, ei
+        return score, matches, begin + j, begin + ej, i, ei
+
+    def pieces(words: np.ndarray, t: int, at: np.ndarray, place: np.ndarray) -> list[tuple]:
+        """Alignments of template ``t`` that do not overlap in the text, by their starts."""
+        found = []
+        todo = [(0, len(words), np.arange(len(at)))]
+        while todo:
+            left, right, hits = todo.pop()
+            diag = at[hits] - place[hits]
+            o = np.argsort(diag, kind="stable")
+            hits, diag = hits[o], diag[o]
+            cut = np.flatnonzero(np.diff(diag) > band) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(diag)]):
+                row = one(words, t, int(diag[i]), int(diag[j - 1]), left, right)
+                if row[1] < index.gram:
+                    continue
+                found.append(row)
+                some = hits[i:j]
+                for lo, hi, rest in ((left, row[2], some[at[some] + index.gram <= row[2]]), (row[3], right, some[at[some] >= row[3]])):
+                    if len(rest):
+                        todo.append((lo, hi, rest))
+        return sorted(_apart((r, [r[2:4]]) for r in sorted(found, key=lambda r: (-r[0], r[2]))), key=lambda r: r[2])
+
+    def chains(t: int, parts: list[tuple]) -> Iterator[tuple[tuple, list]]:
+        """Passages made of alignments in the same order in text and template, and the parts of each."""
+        size = len(index.words[t])
+        yield from ((r, [r[2:4]]) for r in parts if r[1] >= coverage * size)
+        parts = [r for r in parts if r[1] < coverage * size]
+        while parts:
+            best: list[tuple[int, int | None]] = []
+            for k, r in enumerate(parts):
+                most = (r[1], None)
+                for j in range(k):
+                    x = parts[j]
+                    twice = max(0, x[5] - r[4])
+                    near = r[2] - x[3] <= size or min(r[1], x[1]) >= least_words
+                    if near and x[4] < r[4] and twice <= index.gram and best[j][0] + r[1] - twice > most[0]:
+                        most = (best[j][0] + r[1] - twice, j)
+                best.append(most)
+            k = max(range(len(parts)), key=lambda k: (best[k][0], -k))
+            matches, chain = best[k][0], []
+            while k is not None:
+                chain.append(k)
+                k = best[k][1]
+            held = [parts[k] for k in reversed(chain)]
+            if matches < min(coverage * size, max(least_words, least_share * size)):
+                return  # no other chain has more
+            yield (sum(r[0] for r in held), matches, held[0][2], held[-1][3], held[0][4], held[-1][5]), [r[2:4] for r in held]
+            parts = [r for k, r in enumerate(parts) if k not in set(chain)]
 
     def matches_of(words: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
-        diag = at - place
-        o = np.lexsort((diag, owner))
-        owner, diag = owner[o], diag[o]
-        cut = np.flatnonzero((owner[1:] != owner[:-1]) | (diag[1:] - diag[:-1] > band)) + 1
-        last: dict[int, tuple] = {}
-        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(diag)]):
-            row = one(words, int(owner[i]), int(diag[i]), int(diag[j - 1]))
-            if row is None:
-                continue
-            before = last.get(int(owner[i]))
-            if before is not None and row[4] < before[5]:  # overlaps the one before
-                if row[3] > before[3]:
-                    last[int(owner[i])] = row
-                continue
-            if before is not None:
-                yield before
-            last[int(owner[i])] = row
-        yield from last.values()
+        rows = []
+        for t in np.unique(owner).tolist():
+            mine = owner == t
+            size = len(index.words[t])
+            rows += [((*r, t, r[1] / size), spans) for r, spans in chains(t, pieces(words, t, at[mine], place[mine]))]
+        rows.sort(key=lambda x: (x[0][7] < coverage, -x[0][0], x[0][2], x[0][6]))
+        for score, matches, j, ej, i, ei, t, share in sorted(_apart(rows), key=lambda r: (r[2], r[6])):
+            yield index.names[t], share, matches, score, j, ej, i, ei
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,13 +255,16 @@ def _scan(index: Index, band: int, coverage: float):
     return run
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, gram: int = GRAM, window: int = WINDOW, band: int = BAND, coverage: float = COVERAGE) -> DataFrame:
+def scan(
+    docs: DataFrame, templates: dict[str, str] | None = None, *, gram: int = GRAM, window: int = WINDOW, band: int = BAND, coverage: float = COVERAGE,
+    least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE,
+) -> DataFrame:
     """(doc_id, license, coverage, n_matched, score, spans in words) of every license passage."""
     templates = TEMPLATES if templates is None else templates
     if sum(len(t.encode()) for t in templates.values()) > MAX_TEMPLATE_BYTES:
         raise ValueError(f"templates hold more than {MAX_TEMPLATE_BYTES} bytes")
     base = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
-    return base.mapInArrow(core.lean(_scan(Index(templates, gram, window), band, coverage)), _OUT)
+    return base.mapInArrow(core.lean(_scan(Index(templates, gram, window), band, coverage, least_words, least_share)), _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,6 +283,21 @@ def test_license_scan(spark):
     assert licenses.scan(frame(spark, [])).count() == 0 and licenses.scan(frame(spark, docs), {}).count() == 0
 
 
+def test_license_passages(spark):
+    """Something put in the middle, a license cut off, and notices side by side."""
+    mit = licenses.TEMPLATES["MIT"].split()
+    clause = [f"clause{k}" for k in range(40)]
+    notice = "Released under the MIT License."
+    docs = [(1, " ".join(["x", *mit[:80], *clause, *mit[80:]])), (2, " ".join(mit[: len(mit) * 3 // 4])), (3, f"{notice} and again {notice} {notice} end"), (4, "to deal in the software without thought")]
+    got = licenses.scan(frame(spark, docs)).collect()
+    rows = {d: sorted((r.doc_start, r.doc_end, r.license, round(r.coverage, 2)) for r in got if r.doc_id == d) for d in range(1, 5)}
+    ((start, end, name, share),) = rows[1]
+    assert (start, name, share) == (1, "MIT", 1.0) and end - start >= len(mit) + 40
+    ((start, end, name, share),) = rows[2]
+    assert (start, name) == (0, "MIT") and 0.7 < share < 0.8
+    assert rows[3] == [(0, 5, "MIT-notice", 1.0), (7, 12, "MIT-notice", 1.0), (12, 17, "MIT-notice", 1.0)] and rows[4] == []
+
+
 # -- 9 -----------------------------------------------------------------------------------------
 
 
