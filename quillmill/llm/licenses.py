@@ -38,6 +38,58 @@ MAX_TEMPLATE_BYTES = 4 << 20
 
 _OUT = "doc_id bigint, license string, coverage double, n_matched bigint, score bigint, doc_start bigint, doc_end bigint, template_start bigint, template_end bigint"
 
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+    "DAMAGE."
+)
+
+
+def _gnu() -> dict[str, str]:
+    """Notices and headers of the GNU licenses besides the GPL 3."""
+    out = {}
+    for short, name, versions in (("GPL", "GNU General Public License", ("2", "3")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",))):
+        for v in versions:
+            key = f"{short}-{v}" if "." in v else f"{short}-{v}.0"
+            what = "library is free software; you" if key == "LGPL-2.1" else "program is free software: you"
+            noun = "library" if key == "LGPL-2.1" else "program"
+            out[f"{key}-abbreviated"] = f"Licensed under the {short} version {v}."
+            out[f"{key}-joined"] = f"Licensed under the {short}v{v}."
+            if key == "GPL-3.0":
+                continue
+            out[f"{key}-notice"] = f"This work is licensed under the {name}, version {v}."
+            out[f"{key}-header"] = (
+                f"This {what} can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either "
+                f"version {v} of the License, or (at your option) any later version. This {noun} is distributed in the hope that it will be useful, but "
+                "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+                f"{name} for more details."
+            )
+    return out
+
+
+def _creative_commons() -> dict[str, str]:
+    """Notices of the six licenses, spelled out and abbreviated."""
+    words = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    out = {}
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        name = "-".join(words[k] for k in kind.split("-"))
+        for v, which in (("4.0", "International"), ("3.0", "Unported"), ("2.0", "Generic")):
+            if v != "4.0" or kind not in ("BY", "BY-SA"):
+                out[f"CC-{kind}-{v}-notice"] = f"This work is licensed under a Creative Commons {name} {v} {which} License."
+            out[f"CC-{kind}-{v}-spelled"] = f"Licensed under the Creative Commons {name} {v} License."
+            out[f"CC-{kind}-{v}-short"] = f"Licensed under CC {kind} {v}."
+    return out
+
+
 #: Notices and texts of widespread public licenses, by name.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -66,11 +118,43 @@ TEMPLATES = {
     "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT "
     "OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-    "provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
-    "the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
-    "the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+    "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+    "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+    "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+    "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+    "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+    "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": _BSD_2 + _BSD_END,
+    "BSD-3-Clause": _BSD_2 + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. " + _BSD_END,
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+    "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+    "and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you "
+    "must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would "
+    "be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+    "original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, "
+    "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to "
+    "the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+    "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE "
+    'IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A '
+    "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "MPL-2.0-short": "Licensed under the Mozilla Public License, version 2.0.",
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC0-1.0-short": "Licensed under CC0 1.0 Universal.",
+    "MIT-short": "Licensed under the MIT License.",
+    "ISC-short": "Licensed under the ISC License.",
+    "BSD-2-Clause-short": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause-short": "Licensed under the BSD 3-Clause License.",
+    **_gnu(),
+    **_creative_commons(),
 }
 
 

@@ -298,6 +298,18 @@ def test_license_passages(spark):
     assert rows[3] == [(0, 5, "MIT-notice", 1.0), (7, 12, "MIT-notice", 1.0), (12, 17, "MIT-notice", 1.0)] and rows[4] == []
 
 
+def test_license_names(spark):
+    """Every template is found as itself and as nothing else, as are usual lines without the closing dot."""
+    docs = [(k, f"some text before\n{t}\nand after") for k, t in enumerate(licenses.TEMPLATES.values())]
+    lines = {900: "Licensed under CC BY-NC 4.0", 901: "licensed under CC BY-NC-ND 3.0", 902: "Licensed under CC BY 4.0", 903: "Licensed under the AGPLv3", 904: "Licensed under the BSD 3-Clause License"}
+    got = {}
+    for r in licenses.scan(frame(spark, docs + list(lines.items()))).collect():
+        got.setdefault(r.doc_id, []).append((r.license, round(r.coverage, 2)))
+    names = dict(enumerate(licenses.TEMPLATES))
+    assert {k: v for k, v in got.items() if k < 900} == {k: [(n, 1.0)] for k, n in names.items()}
+    assert [got[k][0][0] for k in lines] == ["CC-BY-NC-4.0-short", "CC-BY-NC-ND-3.0-short", "CC-BY-4.0-short", "AGPL-3.0-joined", "BSD-3-Clause-short"]
+
+
 # -- 9 -----------------------------------------------------------------------------------------
 
 
