@@ -15,9 +15,17 @@ built subtree by subtree, and only where a maximal repeat can start:
    sorted, neighbours' common prefixes computed, and a stack scan walks the interval tree, writing
    each interval whose occurrences have different left words.
 
-Copies of one text are one text with several doc_ids.  Cases: null and empty texts and texts of
-fewer than ``least`` words have no repeats; rows without a doc_id are left out; repeated rows of
-one doc_id count once; an empty table gives an empty result.
+The result is the tree itself, which holds every occurrence of every repeat in space that grows with
+the suffixes: a repeat is a stretch of places of its root's suffix array, and an occurrence is listed
+with the longest repeat that has it.  ``occurrences`` expands this to all pairs of repeat and
+occurrence, of which nested repeats have quadratically many.
+
+Words are compared by 64-bit hashes, and texts are the same where their 64-bit hashes are.  Copies of
+one text are one text with several doc_ids.  Cases: null and empty texts and texts of fewer than
+``least`` words have no repeats; texts of any length are sorted, long self-repeating ones by doubling;
+rows without a doc_id are left out; a doc_id must be an integer or a number in text form; repeated rows
+of one doc_id count once; equal suffixes are in order of doc_id and place; an empty table gives an empty
+result; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ LEAST = 50
 _U = np.uint64
 _ROWS = "bucket int, kind int, name bigint, doc_id bigint, payload binary, text string"
 _REGION = "region bigint, doc_ids binary, words bigint, begin bigint, tokens binary, starts binary"
-_OUT = "n_words bigint, n_occurrences bigint, doc_ids array<bigint>, starts array<bigint>"
+_OUT = "repeat_id bigint, n_words bigint, n_occurrences bigint, doc_id bigint, start bigint, root bigint, first_place bigint, last_place bigint, place bigint"
 
 
 def _slide(a: np.ndarray, w: int, op) -> np.ndarray:
@@ -90,7 +98,6 @@ def _anchor_rows(least: int, gram: int, buckets: int):
                 link = np.zeros(len(at), dtype=np.uint64)
                 link[1:] = core.mix((total[at[1:]] - total[at[:-1]]) * down[at[:-1]] + (at[1:] - at[:-1]).astype(np.uint64))
                 link[1:][d[1:] != d[:-1]] = 0
-                link = link.astype(np.uint32)
                 yield from packer.add(h, h, name[d], (at - w.off[d]).astype(np.uint32), link)
         yield from packer.flush()
 
@@ -99,7 +106,7 @@ def _anchor_rows(least: int, gram: int, buckets: int):
 
 def _shared(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, name, pos, link = core.unpack(core.payloads(batches), ["u8", "i8", "u4", "u4"])
+        h, name, pos, link = core.unpack(core.payloads(batches), ["u8", "i8", "u4", "u8"])
         if not len(h):
             return
         o = np.lexsort((pos, name, h))
@@ -163,7 +170,7 @@ def _regions(least: int, gram: int):
             t = t.filter(pa.array(hit | many))
             for b in core.slices(t):
                 w = core.words_of(b.column("text"))
-                tok = w.hash.astype(np.uint32)
+                tok = w.hash
                 rows = []
                 for i, x in enumerate(b.column("name").to_pylist()):
                     a, z = int(w.off[i]), int(w.off[i + 1])
@@ -207,11 +214,11 @@ def _start_rows(least: int, buckets: int):
                 at = np.frombuffer(starts, np.uint32).astype(np.int64)
                 if not len(at):
                     continue
-                tok = np.frombuffer(tokens, np.uint32)
+                tok = np.frombuffer(tokens, np.uint64)
                 lead = 1 if begin > 0 else 0
                 place = at - begin + lead
-                h = core.grams(tok.astype(np.uint64) + _U(1), least)[place]
-                left = np.where(at > 0, tok[np.maximum(place - 1, 0)], 0).astype(np.uint32)
+                h = core.grams(tok, least)[place]
+                left = np.where(at > 0, tok[np.maximum(place - 1, 0)], _U(0))
                 n = len(at)
                 yield from packer.add(
                     h, h, left, np.full(n, region, dtype=np.int64), at.astype(np.uint32), (at == 0).astype(np.uint8),
@@ -226,7 +233,7 @@ def _roots(buckets: int):
     """Groups with different left words ask their regions for the suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, left, region, at, first, copies, room = core.unpack(core.payloads(batches), ["u8", "u4", "i8", "u4", "u1", "u4", "u4"])
+        h, left, region, at, first, copies, room = core.unpack(core.payloads(batches), ["u8", "u8", "i8", "u4", "u1", "u4", "u4"])
         if not len(h):
             return
         o = np.lexsort((at, region, h))
@@ -272,7 +279,7 @@ def _suffix_rows(buckets: int):
                     asked.append(payload)
                 else:
                     bodies[name] = payload
-        region, h, left, at, first, limit = core.unpack(asked, ["i8", "u8", "u4", "u4", "u1", "u4"])
+        region, h, left, at, first, limit = core.unpack(asked, ["i8", "u8", "u8", "u4", "u1", "u4"])
         if not len(h):
             return
         o = np.lexsort((at, h, region))
@@ -285,14 +292,14 @@ def _suffix_rows(buckets: int):
         for k, (i, j) in enumerate(zip(heads.tolist(), tails.tolist())):
             body = bodies[int(region[i])]
             words, begin, m = np.frombuffer(body, np.int64, 3).tolist()
-            tok = np.frombuffer(body, np.uint32, offset=24 + 8 * m)
+            tok = np.frombuffer(body, np.uint64, offset=24 + 8 * m)
             lead = 1 if begin > 0 else 0
             place = at[i:j].astype(np.int64) - begin + lead
             stop = int((place + limit[i:j]).max())
             part = tok[int(place[0]) : stop]
             head = np.array([int(h[i].view(np.int64)), words, m, j - i, len(part)], dtype=np.int64).tobytes()
             out[0].append(int(bucket[k]))
-            out[1].append(head + body[24 : 24 + 8 * m] + at[i:j].tobytes() + left[i:j].tobytes() + limit[i:j].astype(np.uint32).tobytes() + part.tobytes() + first[i:j].tobytes())
+            out[1].append(head + body[24 : 24 + 8 * m] + left[i:j].tobytes() + part.tobytes() + at[i:j].tobytes() + limit[i:j].astype(np.uint32).tobytes() + first[i:j].tobytes())
             size += len(out[1][-1])
             if size > 1 << 22:
                 yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["bucket", "payload"])
@@ -330,9 +337,10 @@ def _by_doubling(parts: list[np.ndarray], at: np.ndarray) -> list[int]:
     """Order of the suffixes that begin at ``at`` of the joined parts, in memory that grows with the parts only."""
     size = sum(len(p) + 1 for p in parts)
     rank = np.empty(size, dtype=np.int64)
+    names = np.unique(np.concatenate(parts), return_inverse=True)[1] + len(parts)
     i = 0
     for k, p in enumerate(parts):
-        rank[i : i + len(p)] = p.astype(np.int64) + len(parts)
+        rank[i : i + len(p)] = names[i - k : i - k + len(p)]
         rank[i + len(p)] = k  # every part ends in a sign of its own
         i += len(p) + 1
     rank = np.unique(rank, return_inverse=True)[1]
@@ -357,16 +365,22 @@ def _array(sort_words: int):
     def build(members: list[bytes]) -> tuple:
         suffix, left, first, docs, start, ends = [], [], [], [], [], []
         parts, places, size, total = [], [], 0, 0
+        read = []
         for p in members:
             _, words, m, n, k = np.frombuffer(p, np.int64, 5).tolist()
             at = 40
             ids = np.frombuffer(p, np.int64, m, at).tolist()
             at += 8 * m
+            lw = np.frombuffer(p, np.uint64, n, at).tolist()
+            tok = np.frombuffer(p, np.uint64, k, at + 8 * n)
+            at += 8 * (n + k)
             pos = np.frombuffer(p, np.uint32, n, at).tolist()
-            lw = np.frombuffer(p, np.uint32, n, at + 4 * n).tolist()
-            lim = np.frombuffer(p, np.uint32, n, at + 8 * n).tolist()
-            tok = np.frombuffer(p, np.uint32, k, at + 12 * n)
-            fs = np.frombuffer(p, np.uint8, n, at + 12 * n + 4 * k).tolist()
+            lim = np.frombuffer(p, np.uint32, n, at + 4 * n).tolist()
+            fs = np.frombuffer(p, np.uint8, n, at + 8 * n).tolist()
+            read.append((ids, pos, words, n, lw, lim, tok, fs))
+        # Whatever order they arrived in.
+        read.sort(key=lambda r: (r[0], r[1][0], r[2]))
+        for ids, pos, words, n, lw, lim, tok, fs in read:
             parts.append(tok)
             for i in range(n):
                 o = pos[i] - pos[0]
@@ -382,7 +396,7 @@ def _array(sort_words: int):
         if total > sort_words:
             order = _by_doubling(parts, np.array(places))
         else:
-            keys = [x.astype(">u4").tobytes() for x in suffix]
+            keys = [x.astype(">u8").tobytes() for x in suffix]
             order = sorted(range(len(suffix)), key=keys.__getitem__)
             del keys
         return order, [_common(suffix[a], suffix[b]) for a, b in zip(order, order[1:])], left, first, docs, start, ends
@@ -394,54 +408,97 @@ def _tree(least: int, sort_words: int):
     """The scan of each root's interval tree."""
     build = _array(sort_words)
 
-    def scan(members: list[bytes]) -> Iterator[tuple]:
+    def scan(root: int, members: list[bytes]) -> Iterator[tuple]:
         order, lcp, left, first, docs, start, ends = build(members)
         # Places up to i at which the left word changes; a text's start differs from any.
-        change = [0]
+        change, copies = [0], [0]
         for a, b in zip(order, order[1:]):
             change.append(change[-1] + (left[a] != left[b] or first[a] or first[b]))
+        for x in order:
+            copies.append(copies[-1] + len(docs[x]))
 
-        def row(length: int, i: int, j: int) -> tuple:
-            found = sorted((d, start[x]) for x in order[i : j + 1] for d in docs[x])
-            return length, len(found), [d for d, _ in found], [s for _, s in found]
+        def rows(length: int, i: int, j: int, own: list[int]) -> Iterator[tuple]:
+            head = (_name(root, i, j), length, copies[j + 1] - copies[i])
+            for k in own:
+                for d in docs[order[k]]:
+                    yield *head, d, start[order[k]], root, i, j, k
 
-        for length, i, j in intervals(lcp):
-            if length >= least and change[j] > change[i]:
-                yield row(length, i, j)
-        for i, x in enumerate(order):
+        whole = set()
+        for k, x in enumerate(order):
             # Copies of a whole text, where it goes on beyond what it shares with other texts.
-            around = max(lcp[max(0, i - 1) : i + 1], default=0)
-            if len(docs[x]) > 1 and first[x] and ends[x] >= least and ends[x] > around:
-                yield row(ends[x], i, i)
+            if len(docs[x]) > 1 and first[x] and ends[x] >= least and ends[x] > max(lcp[max(0, k - 1) : k + 1], default=0):
+                whole.add(k)
+                yield from rows(ends[x], k, k, [k])
+        done: list[tuple[int, int, int]] = []  # stretches that inner repeats hold, with the place of their first occurrence
+        for length, i, j in intervals(lcp):
+            if length < least or change[j] == change[i]:
+                continue
+            own, lead, at = [], [], j
+            while at >= i:
+                if done and done[-1][0] <= at <= done[-1][1]:
+                    low, _, who = done.pop()
+                    lead.append(who)
+                    at = low - 1
+                else:
+                    (lead if at in whole else own).append(at)
+                    at -= 1
+            best = min(own + lead, key=lambda k: (docs[order[k]][0], start[order[k]]))
+            yield from rows(length, i, j, own)
+            if best in lead:  # every repeat has its first occurrence beside those that no longer repeat has
+                yield _name(root, i, j), length, copies[j + 1] - copies[i], docs[order[best]][0], start[order[best]], root, i, j, best
+            done.append((i, j, best))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, list[bytes]] = {}
         for p in core.payloads(batches):
             groups.setdefault(int(np.frombuffer(p, np.int64, 1)[0]), []).append(p)
-        rows, size = [], 0
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        held = []
         names = [f.split()[0] for f in _OUT.split(", ")]
+
+        def send() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=names)
+            held.clear()
+            return out
+
         for h in list(groups):
-            for r in scan(groups.pop(h)):
-                rows.append(r)
-                size += r[1]
-                if size > 200_000:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                    rows, size = [], 0
-        if rows:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            for r in scan(h, groups.pop(h)):
+                held.append(r)
+                if len(held) >= 1 << 16:
+                    yield send()
+        if held:
+            yield send()
 
     return run
 
 
+def _name(root: int, i: int, j: int) -> int:
+    """A 64-bit name of a stretch of a root's places."""
+    x = (root * 0x9E3779B97F4A7C15 + i * 0xC2B2AE3D27D4EB4F + j) & 0xFFFFFFFFFFFFFFFF
+    for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ x >> 33) * k) & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 33
+    return x - (1 << 64) if x >> 63 else x
+
+
 def maximal_repeats(docs: DataFrame, *, least: int = LEAST, sort_words: int = SORT_WORDS) -> DataFrame:
-    """(n_words, n_occurrences, doc_ids, starts): every maximal repeat of at least ``least`` words.
+    """Every maximal repeat of at least ``least`` words, with all its occurrences, as the interval tree.
 
-    ``doc_ids`` and ``starts`` (word numbers) go together, in order.  ``sort_words`` changes how, not what.
+    A repeat (``repeat_id``, ``n_words``, ``n_occurrences``) holds the places ``first_place`` to ``last_place`` of
+    the suffix array of ``root``.  One row for each occurrence (``doc_id``, ``start`` in words, ``place``), listed
+    with the longest repeat that has it; the first occurrence of a repeat is listed with it in any case.
+    ``sort_words`` changes how, not what.
     """
     return core.spread(_suffixes(docs, least), core.parts(docs.sparkSession)).mapInArrow(core.lean(_tree(least, sort_words)), _OUT)
 
 
+def occurrences(tree: DataFrame) -> DataFrame:
+    """(repeat_id, n_words, doc_id, start): all occurrences of each repeat of ``maximal_repeats``, those of inner repeats too."""
+    repeats = tree.select("repeat_id", "n_words", "root", "first_place", "last_place").distinct()
+    places = tree.select(F.col("root").alias("of"), "place", "doc_id", "start").distinct()
+    inside = (F.col("root") == F.col("of")) & F.col("place").between(F.col("first_place"), F.col("last_place"))
+    return repeats.join(places, inside).select("repeat_id", "n_words", "doc_id", "start")
+
+
 def _suffixes(docs: DataFrame, least: int) -> DataFrame:
     """Packed suffixes of every root."""
     if least < 2:

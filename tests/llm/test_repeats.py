@@ -69,20 +69,31 @@ def maximal(docs: list[tuple], least: int) -> set[tuple]:
     return out
 
 
+def groups(tree) -> list[tuple]:
+    """(words, occurrences, places) of each repeat, from the tree's rows."""
+    n = {r.repeat_id: r.n_occurrences for r in tree.collect()}
+    at = defaultdict(list)
+    for r in suffix_repeats.occurrences(tree).collect():
+        at[r.repeat_id, r.n_words].append((r.doc_id, r.start))
+    return [(words, n[k], tuple(sorted(places))) for (k, words), places in at.items()]
+
+
 @pytest.mark.parametrize("seed,least", [(1, 5), (2, 20), (3, 8), (5, 12), (6, 30)])
 def test_maximal_repeats(spark, seed, least):
     docs = corpus(seed)
-    rows = suffix_repeats.maximal_repeats(spark.createDataFrame(docs, SCHEMA), least=least).collect()
-    got = {(r.n_words, r.n_occurrences, tuple(zip(r.doc_ids, r.starts))) for r in rows}
-    assert len(got) == len(rows)
-    assert got == maximal(docs, least)
+    tree = suffix_repeats.maximal_repeats(spark.createDataFrame(docs, SCHEMA), least=least).cache()
+    rows = tree.collect()
+    assert len({(r.repeat_id, r.doc_id, r.start) for r in rows}) == len(rows)
+    got = groups(tree)
+    assert len(got) == len({r.repeat_id for r in rows})
+    assert set(got) == maximal(docs, least)
 
 
 @pytest.mark.parametrize("seed,least", [(1, 5), (5, 12)])
 def test_maximal_repeats_by_doubling(spark, seed, least):
     docs = corpus(seed)
-    rows = suffix_repeats.maximal_repeats(spark.createDataFrame(docs, SCHEMA), least=least, sort_words=0).collect()
-    assert {(r.n_words, r.n_occurrences, tuple(zip(r.doc_ids, r.starts))) for r in rows} == maximal(docs, least)
+    tree = suffix_repeats.maximal_repeats(spark.createDataFrame(docs, SCHEMA), least=least, sort_words=0)
+    assert set(groups(tree)) == maximal(docs, least)
 
 
 def test_empty_tables(spark):
