@@ -16,6 +16,7 @@ QUERIES = {
     "op9_rule_bitmask_ledger": quality_rules.query,
     "op10_maximal_repeats": suffix_repeats.query,
     "op7_whole_decontamination": decontaminate.whole_query,
+    "jaccard_pairs": ngram_join.pairs_query,
     "rule_ablation": quality_rules.ablation_query,
     "benchmark_ngram_score": lm_score.benchmark_query,
 }
@@ -23,6 +24,7 @@ QUERIES = {
 ORACLES = {
     "op1_warc_index_merge": warc_index.ORACLE,
     "op2_adaptive_prefix_join": ngram_join.ORACLE,
+    "jaccard_pairs": ngram_join.PAIRS_ORACLE,
     "op3_recompression_spans": recompression.ORACLE,
     "op7_positional_decontamination": decontaminate.ORACLE,
     "op9_rule_bitmask_ledger": quality_rules.ORACLE,

@@ -57,22 +57,54 @@ def test_jaccard_join(spark, seed, threshold):
         w = [x if rnd.random() > 0.1 else "new" for x in w]
         docs.append((100 + k, " ".join(w)))
     docs += [(300, docs[0][1]), (301, docs[0][1]), docs[3], (5, docs[9][1])]
-    got = {(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngram_join.near_pairs(frame(spark, docs + EDGES), threshold=threshold).collect()}
-    sets = sorted({(d, frozenset(shingle_set(t))) for d, t in docs + [(903, "one")]}, key=lambda x: x[0])
-    want = set()
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[i + 1 :]:
-            if x and y and a != b and len(x & y) / len(x | y) >= threshold:
-                want.add((min(a, b), max(a, b), round(len(x & y) / len(x | y), 9)))
-    assert got == want
-
-
-def test_join_tiles(spark, monkeypatch):
+    check_join(spark, docs + EDGES, threshold)
+
+
+def check_join(spark, docs, threshold):
+    """Pairs, membership, classes and links against all pairs of documents."""
+    sets = sorted({(d, frozenset(shingle_set(t))) for d, t in docs if d is not None and t != " . "}, key=lambda x: x[0])
+    least = {}
+    for d, x in sets:
+        least.setdefault(x, d)
+    near = lambda x, y: x and y and len(x & y) / len(x | y) >= threshold
+    pairs, members = ngram_join.near_pairs(frame(spark, docs), threshold=threshold)
+    got = {(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in pairs.collect()}
+    want = {(min(a, b), max(a, b), round(len(x & y) / len(x | y), 9)) for x, a in least.items() for y, b in least.items() if x != y and near(x, y)}
+    assert got == want and pairs.count() == len(want)
+    assert {tuple(r) for r in members.collect()} == {(d, least[x]) for d, x in sets if x}
+    links, root = Counter(), {d: d for d, _ in docs if d is not None}
+    for a, x in sets:
+        for b, y in sets:
+            if a != b and near(x, y):
+                links[a] += 1
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    rows = ngram_join.near_duplicates(frame(spark, docs), threshold=threshold).collect()
+    assert {tuple(r) for r in rows} == {(d, root[d], links[d]) for d in root} and len(rows) == len(root)
+
+
+def test_join_tiles_and_hot_shingles(spark, monkeypatch):
     docs = [(i, " ".join(f"w{j}" for j in range(60)) + f" t{i}") for i in range(20)]
     monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 200)
-    assert ngram_join.near_pairs(frame(spark, docs)).count() == 190
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    check_join(spark, docs, 0.5)
+    # Most documents are one shingle and a little: every posting is hot.
+    rnd = random.Random(7)
+    check_join(spark, [(i, "a b c" + "".join(f" {rnd.choice('de')}" for _ in range(i % 4))) for i in range(60)] + EDGES, 0.4)
     assert sorted(r.doc_id for r in ngram_join.representatives(frame(spark, docs)).collect()) == list(range(1, 20))
-    assert ngram_join.near_pairs(frame(spark, [])).count() == 0
+    assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_join_counts_shingles_whose_low_bits_clash():
+    """Two shingles that look alike in the bits that are sent still are two that a pair shares."""
+    import pyarrow as pa
+
+    sids, two = np.array([11, 12], dtype=np.int64), np.array([2, 2])
+    local = np.array([0, 0, 1, 1], dtype=np.uint16) << 2
+    payload = np.array([2, 4], dtype=np.uint32).tobytes() + sids.tobytes() + two.astype(np.uint32).tobytes() + two.astype(np.uint8).tobytes() + local.tobytes() + np.full(4, 7, dtype=np.uint32).tobytes()
+    batch = pa.record_batch([pa.array([0], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
+    (out,) = ngram_join._enough(ngram_join._pairs(1, 0.5)([batch, batch]))  # sent by two tasks
+    assert (out.column("a").to_pylist(), np.frombuffer(out.column("partners")[0].as_py(), np.int64).tolist()) == ([11], [12])
 
 
 # -- 4 -----------------------------------------------------------------------------------------
