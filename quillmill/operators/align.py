@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..shipping import ship
+from .. import storage
 from .pinning import normalise_word
 from .verify import find_numbers, is_negation
 
@@ -154,16 +155,31 @@ def annotate(pairs: DataFrame, original: str = "original", compressed: str = "co
     return pairs.select(key, original, compressed).mapInArrow(run, f"{key} {kind}, {_LABELLED}")
 
 
+def _first(rows: DataFrame, n: int, *by: Column | str) -> DataFrame:
+    """The first ``n`` rows in an order without ties, ranked where they lie: no partition holds more than its share."""
+    names = rows.columns
+    placed = storage.kept(rows.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    before, total = [], 0
+    for r in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # one row a partition
+        before.append((r["_part"], total))
+        total += r.n
+        if total >= n:
+            break
+    starts = rows.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
+    return placed.join(F.broadcast(starts), "_part").where(F.col("_before") + F.col("_at") < n).select(*names)
+
+
 def drop_worst(examples: DataFrame, measures: dict[str, float], *, key: str = "doc_id") -> DataFrame:
     """Without the ceil(n * share) highest of each measure; ties go to the larger key, so the smaller goes first.
 
-    Each cut is a sort-limit (no rank over one partition) and one anti-join of the union.
+    The examples are written once, so what made them runs once; each cut is a sort and one anti-join of the union.
     """
+    examples = storage.kept(examples, "examples")
     n = examples.count()
     gone = None
     for name, share in measures.items():
-        cut = -int(-(n * share) // 1)
-        worst = examples.orderBy(F.desc(name), key).limit(cut).select(key)
+        worst = _first(examples.select(key, name), -int(-(n * share) // 1), F.desc(name), F.col(key)).select(key)
         gone = worst if gone is None else gone.unionByName(worst)
     return examples if gone is None else examples.join(gone.distinct(), key, "left_anti")
 
@@ -192,9 +208,10 @@ def pairs_of(rows: DataFrame, *, key: str = "doc_id") -> DataFrame:
 
 def split_shards(examples: DataFrame, *, val_fraction: float = 0.05, seed: int = 0, key: str = "doc_id") -> DataFrame:
     """Adds ``shard``: the max(1, n * val_fraction) examples of the least hash are ``val``, the others ``train``."""
+    examples = storage.kept(examples, "examples")
     n = examples.count()
     cut = max(1, int(n * val_fraction)) if n else 0
-    val = examples.select(key).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(cut).withColumn("shard", F.lit("val"))
+    val = _first(examples.select(key), cut, F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).withColumn("shard", F.lit("val"))
     return examples.join(val, key, "left").withColumn("shard", F.coalesce("shard", F.lit("train")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon, spans, text as T
 from ..operators import align, chunking, pinning, ranker, report, rules, verify as V
 from ..shipping import ship
+from ..storage import spread_over_cores
 from . import api
 
 RATE, LOW_RATE = 0.5, 0.33
@@ -19,10 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, lang).  A file of one row group would be one task; heavy operators want all cores."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    """(doc_id, text, lang) of all documents."""
+    return spread_over_cores(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 # -- SQL parts ---------------------------------------------------------------------------------
@@ -97,14 +96,13 @@ def rules_compress_text(spark, sf_dir):
 
 
 def rate_sweep(spark, sf_dir):
+    """All rates from one ranking: a word goes at each rate whose budget its rank still exceeds."""
     docs = documents(spark, sf_dir)
-    langs = docs.select("doc_id", "lang", T.count_tokens(F.col("text")).alias("n"))
-    rows = None
-    for rate in report.RATES:
-        gone = rules.drops(docs, rate).where("dropped").groupBy("doc_id").agg(F.count("*").alias("gone"))
-        one = langs.join(gone, "doc_id", "left").groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.coalesce(F.sum("gone"), F.lit(0)).alias("dropped")).withColumn("rate", F.lit(rate))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    rates = F.array(*[F.lit(r) for r in report.RATES])
+    ranked = rules.ranked(docs.select("doc_id", "lang", "text"), keep=("lang",))
+    gone = ranked.select("lang", F.explode(F.filter(rates, lambda r: rules.goes(r))).alias("rate")).groupBy("lang", "rate").agg(F.count("*").alias("dropped"))
+    n = docs.groupBy("lang").agg(F.sum(T.count_tokens(F.col("text"))).alias("n_tokens")).select("lang", "n_tokens", F.explode(rates).alias("rate"))
+    return n.join(gone, ["lang", "rate"], "left").select("lang", "n_tokens", F.coalesce("dropped", F.lit(0)).alias("dropped"), "rate")
 
 
 def phrase_rewrites(spark, sf_dir):
@@ -120,20 +118,21 @@ def number_counts(spark, sf_dir):
     return V.number_counts(documents(spark, sf_dir))
 
 
-def _half(docs: DataFrame) -> DataFrame:
-    """Each document with only the first half of its words: something to find losses in."""
-    w = T.words(F.col("text"))
-    return docs.withColumn("text", F.array_join(F.slice(w, 1, F.floor(F.size(w) / 2).cast("int")), " "))
+def _selected(docs: DataFrame) -> DataFrame:
+    """Each document as selection by length leaves it in a language that names no negations."""
+    bare = lexicon.Language("bare", lexicon.RuleSet())
+    return ranker.select(docs, LOW_RATE, language=bare).select("doc_id", F.col("compressed").alias("text"))
 
 
 def negations_lost(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return V.lost(V.negation_counts(docs), V.negation_counts(_half(docs)), "doc_id", "cue")
+    return V.lost(V.negation_counts(docs), V.negation_counts(_selected(docs)), "doc_id", "cue")
 
 
 def numbers_lost(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return V.lost(V.number_counts(docs), V.number_counts(_half(docs)), "doc_id", "number")
+    small = rules.compress(docs, LOW_RATE).select("doc_id", F.col("compressed").alias("text"))
+    return V.lost(V.number_counts(docs), V.number_counts(small), "doc_id", "number")
 
 
 def negation_pileups(spark, sf_dir):
@@ -211,8 +210,7 @@ def repair_pairs(spark, sf_dir):
 
 
 def filter_worst(spark, sf_dir):
-    rows = documents(spark, sf_dir).selectExpr("doc_id", "CAST(length(text) % 97 AS DOUBLE) AS variation_rate", "CAST(doc_id * 31 % 89 AS DOUBLE) AS alignment_gap")
-    return align.filter_examples(rows)
+    return align.filter_examples(align_labels(spark, sf_dir).where("keep_ratio IS NOT NULL"))
 
 
 def qa_scores(spark, sf_dir):
@@ -236,7 +234,6 @@ QUERIES = {
 _NEG = f"CASE WHEN x LIKE '%n''t' THEN 'n''t' ELSE x END"
 _NEG_OK = f"(x LIKE '%n''t' OR x IN {_in(lexicon.NEGATIONS)})"
 _NEG_COUNTS = f"SELECT doc_id, {_NEG} AS cue, count(*) AS n FROM (SELECT doc_id, unnest({_CHECK_WORDS.format('text')}) AS x FROM {{}}) WHERE {_NEG_OK} GROUP BY ALL"
-_HALF = r"half AS (SELECT doc_id, array_to_string(ws[1:CAST(floor(len(ws) / 2) AS BIGINT)], ' ') AS text FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents))"
 # Doubled separators stand for the look-around: each number has its own neighbours.
 _NUM_COUNTS = (
     rf"SELECT doc_id, replace(lower(x), ',', '') AS number, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all("
@@ -245,14 +242,35 @@ _NUM_COUNTS = (
 _MARKS = T.EDGE_MARKS.replace("'", "''")
 _ANSWER = r"array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'), ' '), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
 
+_NEG_PIN = f"core LIKE '%n''t' OR core IN {_in(lexicon.NEGATIONS)}"
+
+
+def _selection(pinned: str) -> str:
+    return rf"""u AS (SELECT doc_id, len(us) AS n, unnest(us) AS w, generate_subscripts(us, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\n+|\S+') AS us FROM documents)),
+c AS (SELECT *, lower(trim(w, '{_MARKS}')) AS core FROM u),
+p AS (SELECT *, regexp_matches(w, '^[\n#>|]') OR {pinned} OR core = '' OR regexp_matches(w, '(^|[^\pL\pN\pM_.])[vV]?\d+([.,]\d+)*%?($|[^\pL\pN\pM_])') AS pin FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pin ORDER BY len(core) DESC, pos) AS rank, greatest(1, least(n, CAST(round_even(CAST({LOW_RATE} AS DOUBLE) * n, 0) AS BIGINT))) - count(*) FILTER (pin) OVER (PARTITION BY doc_id) AS room FROM p),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) FILTER (pin OR rank <= room) AS t, count(*) FILTER (NOT (pin OR rank <= room)) AS dropped FROM r GROUP BY doc_id),
+selected AS (SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE regexp_replace(t, ' ?(\n+) ?', '\1', 'g') END AS compressed, CASE WHEN d.text IS NOT NULL THEN coalesce(dropped, 0) END AS dropped FROM documents d LEFT JOIN k USING (doc_id))"""
+
+
+def _by_rules(rate: float) -> str:
+    return f"""{_WORDS}, gone AS (SELECT doc_id, pos FROM ranked WHERE n_words - (rank - 1) > before * CAST({rate} AS DOUBLE)),
+kept AS (SELECT b.doc_id, string_agg(gap || CASE WHEN g.pos IS NULL THEN word ELSE '' END, '' ORDER BY b.pos) AS t, count(g.pos) AS dropped FROM b LEFT JOIN gone g ON g.doc_id = b.doc_id AND g.pos = b.pos GROUP BY b.doc_id),
+by_rules AS (SELECT d.doc_id, CASE WHEN k.t IS NULL THEN d.text ELSE {_tidied("k.t")} END AS compressed, CASE WHEN d.text IS NOT NULL THEN coalesce(dropped, 0) END AS dropped FROM documents d LEFT JOIN kept k USING (doc_id))"""
+
+
+def _lost(key: str, counts: str, small: str, source: str) -> str:
+    return f"""WITH {small}, small AS (SELECT doc_id, compressed AS text FROM {source}), had AS ({counts.format("documents")}), has AS ({counts.format("small")})
+SELECT had.doc_id, had.{key}, had.n, coalesce(has.n, 0) AS kept FROM had LEFT JOIN has ON had.doc_id = has.doc_id AND had.{key} = has.{key} WHERE coalesce(has.n, 0) < had.n"""
+
+
 ORACLES = {
     "token_counts": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n_tokens FROM documents",
     "core_words": r"SELECT core, count(*) AS n FROM (SELECT lower(regexp_extract(w, '(\pL(?:\pL|'')*)', 1)) AS core FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS w FROM documents)) WHERE core <> '' GROUP BY core",
     "rule_nominations": rf"SELECT lang, CAST({_PRIORITY} AS DOUBLE) AS priority, count(*) AS n FROM (SELECT lang, lower(regexp_extract(w, '(\pL(?:\pL|'')*)', 1)) AS core FROM (SELECT lang, unnest(regexp_extract_all(text, '\S+')) AS w FROM documents)) WHERE {_PRIORITY} IS NOT NULL GROUP BY ALL",
     "rules_drop_set": f"WITH {_WORDS} SELECT doc_id, pos, word, CAST(priority AS DOUBLE) AS priority, rank, n_words - (rank - 1) > before * CAST({RATE} AS DOUBLE) AS dropped FROM ranked",
-    "rules_compress_text": f"""WITH {_WORDS}, gone AS (SELECT doc_id, pos FROM ranked WHERE n_words - (rank - 1) > before * CAST({RATE} AS DOUBLE)),
-kept AS (SELECT b.doc_id, string_agg(gap || CASE WHEN g.pos IS NULL THEN word ELSE '' END, '' ORDER BY b.pos) AS t, count(g.pos) AS dropped FROM b LEFT JOIN gone g ON g.doc_id = b.doc_id AND g.pos = b.pos GROUP BY b.doc_id)
-SELECT d.doc_id, CASE WHEN k.t IS NULL THEN d.text ELSE {_tidied("k.t")} END AS compressed, CASE WHEN d.text IS NOT NULL THEN coalesce(dropped, 0) END AS dropped FROM documents d LEFT JOIN kept k USING (doc_id)""",
+    "rules_compress_text": f"WITH {_by_rules(RATE)} SELECT doc_id, compressed, dropped FROM by_rules",
     "rate_sweep": f"""WITH {_WORDS}, r AS (SELECT unnest([{", ".join(map(str, report.RATES))}]) AS rate),
 g AS (SELECT lang, CAST(rate AS DOUBLE) AS rate, count(*) AS dropped FROM ranked, r WHERE n_words - (rank - 1) > before * CAST(rate AS DOUBLE) GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS n_tokens FROM documents GROUP BY lang)
@@ -260,22 +278,14 @@ SELECT n.lang, n_tokens, coalesce(dropped, 0) AS dropped, CAST(r.rate AS DOUBLE)
     "phrase_rewrites": f"SELECT conv_id, turn, {_rewritten('text')} AS rewritten FROM conversations",
     "negation_counts": _NEG_COUNTS.format("documents"),
     "number_counts": _NUM_COUNTS.format("documents"),
-    "negations_lost": f"WITH {_HALF}, a AS ({_NEG_COUNTS.format('documents')}), b AS ({_NEG_COUNTS.format('half')}) SELECT a.doc_id, a.cue, a.n, coalesce(b.n, 0) AS kept FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.cue = b.cue WHERE coalesce(b.n, 0) < a.n",
-    "numbers_lost": f"WITH {_HALF}, a AS ({_NUM_COUNTS.format('documents')}), b AS ({_NUM_COUNTS.format('half')}) SELECT a.doc_id, a.number, a.n, coalesce(b.n, 0) AS kept FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.number = b.number WHERE coalesce(b.n, 0) < a.n",
+    "negations_lost": _lost("cue", _NEG_COUNTS, _selection("false"), "selected"),
+    "numbers_lost": _lost("number", _NUM_COUNTS, _by_rules(LOW_RATE), "by_rules"),
     "negation_pileups": rf"""WITH w AS (SELECT doc_id, trim(unnest(ws), '.,;:!?') AS x, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS ws FROM documents)),
 g AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM w WHERE {_NEG_OK}), n AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL)
 SELECT doc_id, max(n) AS longest FROM n GROUP BY doc_id""",
-    "ranker_select": rf"""WITH u AS (SELECT doc_id, len(us) AS n, unnest(us) AS w, generate_subscripts(us, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\n+|\S+') AS us FROM documents)),
-c AS (SELECT *, lower(trim(w, '{_MARKS}')) AS core FROM u),
-p AS (SELECT *, regexp_matches(w, '^[\n#>|]') OR core LIKE '%n''t' OR core = '' OR core IN {_in(lexicon.NEGATIONS)} OR regexp_matches(w, '(^|[^\pL\pN\pM_.])[vV]?\d+([.,]\d+)*%?($|[^\pL\pN\pM_])') AS pin FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pin ORDER BY len(core) DESC, pos) AS rank, greatest(1, least(n, CAST(round_even(CAST({LOW_RATE} AS DOUBLE) * n, 0) AS BIGINT))) - count(*) FILTER (pin) OVER (PARTITION BY doc_id) AS room FROM p),
-k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) FILTER (pin OR rank <= room) AS t, count(*) FILTER (NOT (pin OR rank <= room)) AS dropped FROM r GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE regexp_replace(t, ' ?(\n+) ?', '\1', 'g') END AS compressed, CASE WHEN d.text IS NOT NULL THEN coalesce(dropped, 0) END AS dropped FROM documents d LEFT JOIN k USING (doc_id)""",
+    "ranker_select": f"WITH {_selection(_NEG_PIN)} SELECT doc_id, compressed, dropped FROM selected",
     "hard_split_bins": rf"SELECT doc_id, CAST(floor(pos / {chunking.MAX_TOKENS}) AS BIGINT) AS bin, count(*) AS n_words FROM (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents)) GROUP BY ALL",
     "protect_roundtrip": "SELECT page_id, html AS restored FROM pages",
-    "filter_worst": """WITH e AS (SELECT doc_id, CAST(length(text) % 97 AS DOUBLE) AS variation_rate, CAST(doc_id * 31 % 89 AS DOUBLE) AS alignment_gap FROM documents),
-r AS (SELECT *, row_number() OVER (ORDER BY variation_rate DESC, doc_id) AS a, row_number() OVER (ORDER BY alignment_gap DESC, doc_id) AS b, count(*) OVER () AS n FROM e)
-SELECT doc_id, variation_rate, alignment_gap FROM r WHERE a > ceil(n * CAST(0.05 AS DOUBLE)) AND b > ceil(n * CAST(0.1 AS DOUBLE))""",
     "qa_scores": rf"""WITH t AS (SELECT role, array_to_string(regexp_extract_all(text, '\S+')[1:4], ' ') AS prediction, text AS answer FROM conversations WHERE text IS NOT NULL),
 n AS (SELECT row_number() OVER () AS id, role, {_ANSWER.format("prediction")} AS p, {_ANSWER.format("answer")} AS g FROM t),
 s AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS ps, list_filter(string_split(g, ' '), lambda x: x <> '') AS gs FROM n),
