@@ -1,22 +1,25 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The training texts are indexed once: a shard (whole documents, about ``shard_words`` words) stores,
-for every term that the tests use, the sorted list of its positions, and how many there are.  Summed
-over the shards, these counts give the terms' rarity in all training texts.  A test phrase (every
-window of ``phrase`` words of a test text, or the whole text if it is shorter) is then found by
-taking the list of its rarest term, moved back by the term's offset, and intersecting it with the
-lists of its other terms, rarest first.  Windows that follow each other on one diagonal are joined
-to maximal matches.  Proximity matches need no order: ``near_all`` of all terms of a test text within
-``near_span`` times its length.  Any such window holds one of the rarest terms that are too many to be
-all lacking, and several of a few more, which picks the places to look at; the best window that starts
-at a term is reported.  With ``gate``, as in the SQL, ``near_share`` of the ``near_terms`` rarest terms
-must be there too, and windows start at one of these: near copies without them are lost.
+The training texts are indexed once and the index is stored: a shard (whole documents, about
+``shard_words`` words) holds every term, how often it occurs and the sorted list of its positions.
+A search reads the index and no text.  Summed over the shards, the counts of the tests' terms give
+their rarity in all training texts.  A test phrase (every window of ``phrase`` words of a test text,
+or the whole text if it is shorter) is then found by taking the list of its rarest term, moved back by
+the term's offset, and intersecting it with the lists of its other terms, rarest first.  Windows that
+follow each other on one diagonal are joined to maximal matches.  Proximity matches need no order:
+``near_all`` of all terms of a test text within ``near_span`` times its length.  Any such window holds
+one of the rarest terms that are too many to be all lacking, and several of a few more, which picks the
+places to look at; the best window that starts at a term is reported.
 
 The index lies in the shared folder; the tests go to each shard, and their size is checked: beyond
-``slice_bytes`` they are handled in several passes.
-Cases: null or empty texts on either side match nothing; test texts of fewer than ``least`` words
-are not searched, as they would match by chance; repeated rows are matched once for each row;
-equally rare terms are ordered by name; an empty table on either side gives an empty result.
+``slice_bytes`` they are looked up in several passes.
+Cases: null or empty texts on either side match nothing; texts of any length are indexed whole; test
+texts of fewer than ``least`` words are searched as a whole phrase of the kind ``short``, as they can
+match by chance, and neither these nor texts of fewer than 4 different terms have proximity matches;
+repeated rows are matched once for each row; equally rare terms are ordered by name, equally good windows
+by place; a doc_id must be an integer or a number in text form; documents without one cannot be named and
+are left out; an empty table on either side gives an empty result; other columns, of whatever name, are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,26 +35,23 @@ from pyspark.sql import functions as F
 
 from . import core
 
-PHRASE, LEAST, NEAR_TERMS, NEAR_SHARE, NEAR_ALL, NEAR_SPAN = 13, 8, 8, 0.75, 0.6, 2
+PHRASE, LEAST, NEAR_ALL, NEAR_SPAN = 13, 8, 0.6, 2
 SHARD_WORDS = 1 << 20
 SLICE_BYTES = 4 << 20
 
 _WORDS = re.compile(core.WORD_SQL)
-_INDEX = "doc_ids binary, doc_starts binary, sizes binary, positions binary"
+_INDEX = "doc_ids binary, doc_starts binary, terms binary, sizes binary, positions binary"
 _OUT = "doc_id bigint, item_id bigint, kind string, doc_start bigint, item_start bigint, n_words bigint"
 
 
-def _index(vocab: np.ndarray, shard_words: int):
+def _index(shard_words: int):
     def build(ids: list, held: list[core.Words]) -> pa.RecordBatch:
         h = np.concatenate([w.hash for w in held])
-        sizes = np.concatenate([np.diff(w.off) for w in held])
-        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)
-        i = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-        at = np.flatnonzero(vocab[i] == h)
-        term = i[at]
-        order = np.argsort(term.astype(np.uint32), kind="stable")
-        counts = np.bincount(term, minlength=len(vocab)).astype(np.uint32)
-        cols = [np.array(ids, dtype=np.int64), starts, counts, at[order].astype(np.uint32)]
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w.off) for w in held]))]).astype(np.uint32)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        cols = [np.array(ids, dtype=np.int64), starts, h[heads], np.diff(np.append(heads, len(h))).astype(np.uint32), order.astype(np.uint32)]
         return pa.record_batch([pa.array([c.tobytes()], pa.binary()) for c in cols], names=[f.split()[0] for f in _INDEX.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,21 +71,35 @@ def _index(vocab: np.ndarray, shard_words: int):
     return run
 
 
-def _sum_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for b in batches:
-        for p in b.column("sizes").to_pylist():
-            c = np.frombuffer(p, dtype=np.uint32).astype(np.int64)
-            total = c if total is None else total + c
-    if total is not None:
-        yield pa.record_batch([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["term", "n"])
+def _places(terms: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each term of ``vocab`` is among a shard's terms, and whether it is."""
+    i = np.minimum(np.searchsorted(terms, vocab), max(len(terms) - 1, 0))
+    return i, (terms[i] == vocab) if len(terms) else np.zeros(len(vocab), dtype=bool)
 
 
-class Lists:
-    """A shard's posting lists."""
+def _sum_sizes(vocab: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(vocab), dtype=np.int64)
+        for b in batches:
+            for terms, sizes in zip(b.column("terms"), b.column("sizes")):
+                i, there = _places(np.frombuffer(terms.as_buffer(), np.uint64), vocab)
+                total[there] += np.frombuffer(sizes.as_buffer(), np.uint32)[i[there]]
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "n"])
+
+    return run
+
 
-    def __init__(self, sizes: np.ndarray, positions: np.ndarray) -> None:
-        self.at = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+class Lists:
+    """A shard's posting lists of the tests' terms."""
+
+    def __init__(self, vocab: np.ndarray, terms: np.ndarray, sizes: np.ndarray, positions: np.ndarray) -> None:
+        i, there = _places(terms, vocab)
+        start = np.cumsum(sizes.astype(np.int64)) - sizes
+        sizes = np.where(there, sizes[i], 0).astype(np.int64) if len(sizes) else np.zeros(len(vocab), dtype=np.int64)
+        lists = [positions[a : a + n] for a, n in zip(start[i].tolist(), sizes.tolist()) if n] if len(start) else []
+        positions = np.concatenate(lists) if lists else positions[:0]
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
         self.positions = positions
         # One sorted array of (term, position) serves every membership test.
         self.keys = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | positions.astype(np.uint64)
@@ -106,19 +120,19 @@ def _between(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return x[np.cumsum(edge)[: len(x)] > 0]
 
 
-def _windows(first: np.ndarray, rarity: np.ndarray, query: np.ndarray, phrase: int, least: int):
-    # rarity: the terms' places from the rarest on
+def _windows(first: np.ndarray, rarity: np.ndarray, query: np.ndarray, phrase: int):
     """Start, length and the offsets of the terms, rarest first, of every phrase."""
     out = []
     for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
-        if z - a >= least:
-            n = min(phrase, z - a)
-            out += [(s, n) for s in range(a, z - n + 1)]
+        n = min(phrase, z - a)
+        out += [(s, n) for s in range(a, z - n + 1)] if n else []
     return [(s, n, np.argsort(rarity[query[s : s + n]], kind="stable")) for s, n in out]
 
 
-def _match(items: list, first: np.ndarray, query: np.ndarray, rarity: np.ndarray, p: dict):
-    windows = _windows(first, rarity, query, p["phrase"], p["least"])
+def _match(items: list, first: np.ndarray, query: np.ndarray, vocab: np.ndarray, rarity: np.ndarray, p: dict):
+    """``rarity``: each term's place from the rarest on."""
+    windows = _windows(first, rarity, query, p["phrase"])
+    short = np.diff(first) < p["least"]
     item_of = np.repeat(np.arange(len(items)), np.diff(first))
 
     def phrases(lists: Lists, owner: np.ndarray):
@@ -157,7 +171,7 @@ def _match(items: list, first: np.ndarray, query: np.ndarray, rarity: np.ndarray
         heads = np.flatnonzero(new)
         last = np.concatenate([heads[1:], [len(start)]]) - 1
         for h, z in zip(heads.tolist(), last.tolist()):
-            yield int(d[h]), int(item_of[q[h]]), "phrase", int(start[h]), int(q[h]), int(q[z] + n[z] - q[h])
+            yield int(d[h]), int(item_of[q[h]]), "short" if short[item_of[q[h]]] else "phrase", int(start[h]), int(q[h]), int(q[z] + n[z] - q[h])
 
     def near(lists: Lists, owner: np.ndarray, ends: np.ndarray):
         for item in range(len(items)):
@@ -198,52 +212,17 @@ def _match(items: list, first: np.ndarray, query: np.ndarray, rarity: np.ndarray
         for k in np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])).tolist() if len(d) else []:
             yield int(d[k]), item, "near", int(begin[k]), a, int(share[k])
 
-    def gated(lists: Lists, owner: np.ndarray, ends: np.ndarray):
-        for item in range(len(items)):
-            a, z = int(first[item]), int(first[item + 1])
-            if z - a < p["least"]:
-                continue
-            terms = np.unique(query[a:z])
-            rare = terms[np.argsort(rarity[terms])][: p["near_terms"]]
-            if len(rare) < 4:
-                continue
-            need, span = math.ceil(p["near_share"] * len(rare)), p["near_span"] * (z - a)
-            got = [lists.of(int(t)) for t in rare]
-            # The least terms that a match can lack: a window starts at a posting of one of the others.
-            begin = np.unique(np.concatenate(got))
-            if not len(begin):
-                continue
-            stop = np.minimum(begin + span, ends[begin])
-
-            def inside(postings: list[np.ndarray]) -> np.ndarray:
-                total = np.zeros(len(begin), dtype=np.int64)
-                for x in postings:
-                    if len(x):
-                        i = np.searchsorted(x, begin)
-                        total += (i < len(x)) & (x[np.minimum(i, len(x) - 1)] < stop)
-                return total
-
-            ok = inside(got) >= need
-            begin, stop = begin[ok], stop[ok]
-            if not len(begin):
-                continue
-            share = inside([lists.of(int(t)) for t in terms])
-            ok = share >= math.ceil(p["near_all"] * len(terms))
-            begin, share = begin[ok], share[ok]
-            if not len(begin):
-                continue
-            yield from best(item, a, begin, share, owner)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, starts, sizes, positions in zip(*[b.column(f.split()[0]).to_pylist() for f in _INDEX.split(", ")]):
-                ids, starts = np.frombuffer(ids, np.int64), np.frombuffer(starts, np.uint32).astype(np.int64)
-                lists = Lists(np.frombuffer(sizes, np.uint32), np.frombuffer(positions, np.uint32))
+            for row in zip(*[b.column(f.split()[0]) for f in _INDEX.split(", ")]):
+                ids, starts, terms, sizes, positions = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.uint32, np.uint64, np.uint32, np.uint32)))
+                starts = starts.astype(np.int64)
+                lists = Lists(vocab, terms, sizes, positions)
                 owner = np.repeat(np.arange(len(ids)), np.diff(starts))
                 ends = np.repeat(starts[1:], np.diff(starts))
                 rows = [
                     (int(ids[d]), items[i], kind, s - int(starts[d]), q - int(first[i]), n)
-                    for gen in (phrases(lists, owner), (gated if p["gate"] else near)(lists, owner, ends))
+                    for gen in (phrases(lists, owner), near(lists, owner, ends))
                     for d, i, kind, s, q, n in gen
                 ]
                 if rows:
@@ -253,30 +232,34 @@ def _match(items: list, first: np.ndarray, query: np.ndarray, rarity: np.ndarray
     return run
 
 
-def matches(
-    docs: DataFrame, tests: DataFrame, *, phrase: int = PHRASE, least: int = LEAST, near_terms: int = NEAR_TERMS, near_share: float = NEAR_SHARE,
-    near_all: float = NEAR_ALL, near_span: int = NEAR_SPAN, gate: bool = False, shard_words: int = SHARD_WORDS, slice_bytes: int = SLICE_BYTES,
+def index(docs: DataFrame, *, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The stored positional index of ``docs`` (doc_id, text)."""
+    docs = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
+    return core.kept(docs.mapInArrow(core.lean(_index(shard_words)), _INDEX), "index")
+
+
+def search(
+    shards: DataFrame, tests: DataFrame, *, phrase: int = PHRASE, least: int = LEAST, near_all: float = NEAR_ALL, near_span: int = NEAR_SPAN, slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Exact and proximity matches of ``tests`` (item_id, text) in ``docs`` (doc_id, text).
+    """Exact and proximity matches of ``tests`` (item_id, text) in an ``index``; no text of a document is read.
 
-    ``n_words`` is the length of an exact match and the number of distinct terms of a near one.
-    Documents without a doc_id cannot be named and are left out.
+    (doc_id, item_id, kind, doc_start, item_start, n_words): ``n_words`` is the length of an exact match and the
+    number of different terms of a near one.
     """
-    spark = docs.sparkSession
-    docs, tests = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL"), core.pick(tests, "item_id", "text")
+    spark = shards.sparkSession
+    tests = core.pick(tests, "item_id", "text").where("text IS NOT NULL")
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     passes = max(1, math.ceil(size / slice_bytes))
-    p = {"phrase": phrase, "least": least, "near_terms": near_terms, "near_share": near_share, "near_all": near_all, "near_span": near_span, "gate": gate}
+    p = {"phrase": phrase, "least": least, "near_all": near_all, "near_span": near_span}
     out = spark.createDataFrame([], _OUT)
     for k in range(passes):
-        part = tests.where("text IS NOT NULL").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).toArrow().combine_chunks()
+        part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).toArrow().combine_chunks()
         text = part.column("text")
         words = core.words_of(pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()))
         vocab, query = np.unique(words.hash, return_inverse=True)
         if not len(vocab):
             continue
-        index = core.kept(docs.mapInArrow(core.lean(_index(vocab, shard_words)), _INDEX), "index")
-        sizes = index.select("sizes").mapInArrow(core.lean(_sum_sizes), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        sizes = shards.select("terms", "sizes").mapInArrow(core.lean(_sum_sizes(vocab)), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
         total = np.zeros(len(vocab), dtype=np.int64)
         for r in sizes:
             total[r.term] = r.n
@@ -285,18 +268,22 @@ def matches(
         name[query] = strings
         rarity = np.empty(len(vocab), dtype=np.int64)
         rarity[sorted(range(len(vocab)), key=lambda i: (total[i], name[i]))] = np.arange(len(vocab))
-        found = index.mapInArrow(core.lean(_match(part.column("item_id").to_pylist(), words.off, query.astype(np.int64), rarity, p)), _OUT)
-        out = found if out is None or k == 0 else out.unionByName(found)
+        found = shards.mapInArrow(core.lean(_match(part.column("item_id").to_pylist(), words.off, query.astype(np.int64), vocab, rarity, p)), _OUT)
+        out = found if k == 0 else out.unionByName(found)
     return out
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the SQL: near copies pass the gate of the rarest terms."""
-    return matches(core.table(spark, sf_dir, "documents"), core.table(spark, sf_dir, "benchmark"), gate=True)
+def matches(docs: DataFrame, tests: DataFrame, *, shard_words: int = SHARD_WORDS, **options) -> DataFrame:
+    """``search`` of ``tests`` in a fresh ``index`` of ``docs``."""
+    return search(index(docs, shard_words=shard_words), tests, **options)
 
 
-def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every near copy, as in the pipeline."""
+def contaminated(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:
+    """(doc_id) of the documents with an exact or proximity match; whole short test texts don't count."""
+    return matches(docs, tests, **options).where("kind <> 'short'").select("doc_id").distinct()
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(core.table(spark, sf_dir, "documents"), core.table(spark, sf_dir, "benchmark"))
 
 
@@ -304,22 +291,18 @@ def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM
     (SELECT doc_id, regexp_extract_all(lower(text), '{core.WORD_SQL}') AS w FROM documents WHERE doc_id IS NOT NULL)),
-b0 AS MATERIALIZED (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '{core.WORD_SQL}') AS w FROM benchmark) WHERE len(w) >= {LEAST}),
+b0 AS MATERIALIZED (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '{core.WORD_SQL}') AS w FROM benchmark) WHERE len(w) > 0),
 b AS MATERIALIZED (SELECT item_id, n, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS q FROM b0),
 hit AS (SELECT d.doc_id, b.item_id, b.n, d.p, b.q, d.p - b.q AS diag FROM d JOIN b USING (t)),
 island AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY p) AS g FROM hit),
-phrases AS (SELECT doc_id, item_id, 'phrase' AS kind, min(p) AS doc_start, min(q) AS item_start, count(*) AS n_words FROM island
+phrases AS (SELECT doc_id, item_id, CASE WHEN n < {LEAST} THEN 'short' ELSE 'phrase' END AS kind, min(p) AS doc_start, min(q) AS item_start, count(*) AS n_words FROM island
   GROUP BY doc_id, item_id, diag, g, n HAVING count(*) >= least({PHRASE}, n)),
-freq AS (SELECT t, count(*) AS c FROM d GROUP BY t),
-term AS (SELECT item_id, n, t, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(c, 0), t) AS r, count(*) OVER (PARTITION BY item_id) AS nt
-  FROM (SELECT DISTINCT item_id, n, t FROM b) LEFT JOIN freq USING (t)),
-rare AS (SELECT item_id, n, t, nt, least(nt, {NEAR_TERMS}) AS k FROM term WHERE r <= {NEAR_TERMS} AND least(nt, {NEAR_TERMS}) >= 4),
-post AS MATERIALIZED (SELECT rare.*, d.doc_id, d.p FROM rare JOIN d USING (t)),
-begin AS (SELECT DISTINCT item_id, doc_id, n, nt, k, p FROM post),
-close AS MATERIALIZED (SELECT a.item_id, a.doc_id, a.n, a.nt, a.p FROM begin a JOIN post x ON x.item_id = a.item_id AND x.doc_id = a.doc_id AND x.p >= a.p AND x.p < a.p + {NEAR_SPAN} * a.n
-  GROUP BY a.item_id, a.doc_id, a.n, a.nt, a.p, a.k HAVING count(DISTINCT x.t) >= ceil({NEAR_SHARE} * a.k)),
-share AS (SELECT a.item_id, a.doc_id, a.p, count(DISTINCT d.t) AS s FROM close a JOIN d ON d.doc_id = a.doc_id AND d.p >= a.p AND d.p < a.p + {NEAR_SPAN} * a.n
-  JOIN term ON term.item_id = a.item_id AND term.t = d.t GROUP BY a.item_id, a.doc_id, a.p, a.nt HAVING count(DISTINCT d.t) >= ceil({NEAR_ALL} * a.nt)),
+term AS (SELECT DISTINCT item_id, n, t, count(DISTINCT t) OVER (PARTITION BY item_id) AS nt FROM b WHERE n >= {LEAST}),
+place AS MATERIALIZED (SELECT d.doc_id, term.item_id, n, nt, d.t, d.p FROM d JOIN term USING (t) WHERE nt >= 4),
+pair AS (SELECT doc_id, item_id FROM place GROUP BY doc_id, item_id, nt HAVING count(DISTINCT t) >= ceil({NEAR_ALL} * nt)),
+likely AS MATERIALIZED (SELECT place.* FROM place JOIN pair USING (doc_id, item_id)),
+share AS (SELECT a.item_id, a.doc_id, a.p, count(DISTINCT x.t) AS s FROM likely a JOIN likely x ON x.item_id = a.item_id AND x.doc_id = a.doc_id AND x.p >= a.p AND x.p < a.p + {NEAR_SPAN} * a.n
+  GROUP BY a.item_id, a.doc_id, a.p, a.nt HAVING count(DISTINCT x.t) >= ceil({NEAR_ALL} * a.nt)),
 near AS (SELECT doc_id, item_id, p, s FROM share QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, p) = 1)
 SELECT doc_id, item_id, kind, CAST(doc_start AS BIGINT) AS doc_start, CAST(item_start AS BIGINT) AS item_start, CAST(n_words AS BIGINT) AS n_words FROM phrases
 UNION ALL SELECT doc_id, item_id, 'near', CAST(p AS BIGINT), 0, CAST(s AS BIGINT) FROM near

@@ -15,7 +15,6 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_rule_bitmask_ledger": quality_rules.query,
     "op10_maximal_repeats": suffix_repeats.query,
-    "op7_whole_decontamination": decontaminate.whole_query,
     "jaccard_pairs": ngram_join.pairs_query,
     "rule_ablation": quality_rules.ablation_query,
     "benchmark_ngram_score": lm_score.benchmark_query,

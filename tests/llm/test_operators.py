@@ -240,12 +240,26 @@ def test_decontamination_edges(spark):
     got = {tuple(r) for r in decontaminate.matches(frame(spark, docs), spark.createDataFrame(tests, "item_id bigint, text string")).collect()}
     assert {r for r in got if r[2] == "phrase"} == {(10, 1, "phrase", 1, 5, 15)}
     assert {r[0] for r in got if r[2] == "near"} == {12}
+    assert {r for r in got if r[2] == "short"} == set()
     parts = {tuple(r) for r in decontaminate.matches(frame(spark, docs), spark.createDataFrame(tests, "item_id bigint, text string"), slice_bytes=20, shard_words=16).collect()}
     assert parts == got
     assert decontaminate.matches(frame(spark, []), spark.createDataFrame(tests, "item_id bigint, text string")).count() == 0
     assert decontaminate.matches(frame(spark, docs), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_short_tests_and_odd_tables(spark):
+    """Tests of a few words are searched as a whole; repeated rows, other columns and long texts change nothing."""
+    long = " ".join(["filler"] * 70_000) + " too short again"
+    docs = [(1, "it is too short now"), (1, "it is too short now"), (2, long), (3, "short too")]
+    tests = spark.createDataFrame([(4, "Too short.", "x"), (5, "a a a a a a a a a", "y")], "item_id bigint, text string, doc_id string")
+    got = sorted(map(tuple, decontaminate.matches(frame(spark, docs), tests).collect()))
+    assert got == [(1, 4, "short", 2, 0, 2), (1, 4, "short", 2, 0, 2), (2, 4, "short", 70_000, 0, 2)]
+    assert decontaminate.contaminated(frame(spark, docs), tests).count() == 0
+    shards = decontaminate.index(frame(spark, docs))
+    plan = decontaminate.search(shards, tests)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan
+
+
 def brute_near(docs, tests):
     """(doc, item, start, terms) of the best window of each pair, over all places that hold a term."""
     out = set()
