@@ -25,7 +25,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage, word by word or nearly so, go."""
-    return _without(docs, decontaminate.matches(docs, core.table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return _without(docs, decontaminate.contaminated(docs, core.table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
