@@ -4,16 +4,17 @@ Features are the character n-grams (``GRAMS`` lengths, inside lower-cased text w
 blanks), present or absent, hashed to ``1 << BITS`` numbers.  From labelled texts, at most
 ``max_labelled`` of each class chosen by a hash of their doc_id, we take for every feature the
 log-count ratio r = ln((p / sum p) / (q / sum q)), where p and q count (plus one) the toxic and the
-other texts that have it.  The ``features`` whose ratio is furthest from 0 in standard deviations stay.
-A logistic regression is fitted on r times presence; weight times r is then one number for each
+other texts that have it.  Features stay that ``min_texts`` texts have and whose ratio is at least
+``least_sure`` of its standard deviations from 0, however many these are.  A logistic regression is fitted on r times presence; weight times r is then one number for each
 feature, so scoring is one pass over all texts, which are read whole, without any exchange.
 
-``max_labelled`` bounds the fit only; every document is scored.  The model has a fixed size.
-Cases: a null or empty text has no features and gets the intercept's score; labels that are null
-are ignored, several labels of one doc_id each count, several texts of one doc_id count as the
-least of them; repeated documents are each scored; a null doc_id stays null; with no labels of one of
-the classes nothing can be learnt: scores are null and ``is_toxic`` is false; an empty table gives
-an empty result; other columns are ignored.
+``max_labelled`` bounds the fit only, to so many labels and so many texts of each class; every document is
+scored, in whole.  The model has at most ``1 << BITS`` weights.
+Cases: a null or empty text has no features and gets the intercept's score; texts of any length are read
+whole; labels that are null are ignored, several labels of one doc_id each count, as does each different
+text of one doc_id; equally good features all stay; repeated documents are each scored; a null doc_id
+stays null; with no labels of one of the classes nothing can be learnt: scores are null and ``is_toxic``
+is false; an empty table gives an empty result; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from . import core
 GRAMS = (3, 4, 5, 6)
 BITS = 20
 MAX_LABELLED = 2000
-FEATURES = 1 << 13
+LEAST_SURE = 2.0
 MIN_TEXTS = 4
-PENALTY = 1.0
+#: Weight of the squared weights beside the mean loss of ``n`` texts, times n.
+PENALTY = 0.01
 THRESHOLD = 0.6
 
 _MODEL = "feature bigint, weight double"
@@ -76,7 +78,7 @@ def _features(sizes: tuple[int, ...], bits: int):
     return run
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int, features: int, min_texts: int, penalty: float) -> tuple[np.ndarray, np.ndarray, float] | None:
+def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int, least_sure: float, min_texts: int, penalty: float) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(features, weights times ratios, intercept) of texts given by their features."""
     if not toxic.any() or toxic.all():
         return None
@@ -87,32 +89,63 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int, features: int, min
     r = np.log((p + 1.0) / (p + 1.0).sum()) - np.log((q + 1.0) / (q + 1.0).sum())
     sure = np.abs(r) / np.sqrt(1 / (p + 1.0) + 1 / (q + 1.0))
     sure[p + q < min_texts] = 0
-    chosen = np.sort(np.argsort(-sure, kind="stable")[:features])
-    chosen = chosen[sure[chosen] > 0]
+    chosen = np.flatnonzero(sure >= least_sure)
     place = np.full(1 << bits, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
     cols = [c[c >= 0] for c in (place[ids] for ids in rows)]
-    row, col = np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols)
-    x = r[chosen][col]
     n, y = len(rows), toxic.astype(np.float64)
+    row, col = np.repeat(np.arange(n), [len(c) for c in cols]), np.concatenate(cols)
+    del cols
+    x = r[chosen][col]
     share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())  # both classes weigh alike
-    # Nesterov's gradient descent; the step comes from the largest row.
-    norm = np.bincount(row, x * x, n) + 1
-    step = 4.0 / (norm.max() + penalty / n)
-    w, b = np.zeros(len(chosen)), 0.0
-    vw, vb, last = w, b, 1.0
-    for _ in range(200):
-        z = np.bincount(row, x * vw[col], n) + vb
-        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        nw = vw - step * (np.bincount(col, x * g[row], len(chosen)) + penalty / n * vw * 0.01)
-        nb = vb - step * g.sum()
-        now = (1 + (1 + 4 * last * last) ** 0.5) / 2
-        vw, vb = nw + (last - 1) / now * (nw - w), nb + (last - 1) / now * (nb - b)
-        w, b, last = nw, nb, now
+    heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+    of = row[heads]
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        w, z = v[:-1], np.full(n, v[-1])
+        if len(heads):
+            z[of] += np.add.reduceat(x * w[col], heads)
+        g = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        down = np.append(np.bincount(col, x * g[row], len(w)) + penalty / n * w, g.sum())
+        return float((share * (np.logaddexp(0, z) - y * z)).sum() + penalty / n / 2 * (w @ w)), down
+
+    v = minimum(loss, np.zeros(len(chosen) + 1))
+    w, b = v[:-1], float(v[-1])
     return chosen, w * r[chosen], b
 
 
-def _fit_rows(bits: int, features: int, min_texts: int, penalty: float):
+def minimum(loss, v: np.ndarray, *, steps: int = 200, memory: int = 10, close: float = 1e-6) -> np.ndarray:
+    """Where a smooth convex function (value and gradient) is least, by limited-memory BFGS."""
+    f, g = loss(v)
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(g).max() < close:
+            break
+        d, back = -g, []
+        for s, t, k in reversed(moves):
+            a = k * (s @ d)
+            back.append(a)
+            d = d - a * t
+        if moves:
+            s, t, k = moves[-1]
+            d = d / (k * (t @ t))
+        for (s, t, k), a in zip(moves, reversed(back)):
+            d = d + (a - k * (t @ d)) * s
+        size, slope = 1.0 if moves else 1.0 / max(1.0, float(np.abs(g).sum())), float(g @ d)
+        while True:
+            now = v + size * d
+            value, down = loss(now)
+            if value <= f + 1e-4 * size * slope or size < 1e-12:
+                break
+            size /= 2
+        s, t = now - v, down - g
+        if s @ t > 1e-18:
+            moves = [*moves[1 - memory :], (s, t, 1.0 / float(s @ t))]
+        v, f, g = now, value, down
+    return v
+
+
+def _fit_rows(bits: int, least_sure: float, min_texts: int, penalty: float):
     """The model as rows; feature -1 is the intercept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +153,7 @@ def _fit_rows(bits: int, features: int, min_texts: int, penalty: float):
         for b in batches:
             rows += [np.frombuffer(x, np.uint32) for x in b.column("body").to_pylist()]
             toxic += b.column("toxic").to_pylist()
-        got = fit(rows, np.array(toxic, dtype=np.int64) > 0, bits, features, min_texts, penalty) if rows else None
+        got = fit(rows, np.array(toxic, dtype=np.int64) > 0, bits, least_sure, min_texts, penalty) if rows else None
         if got is not None:
             yield pa.record_batch([pa.array(np.concatenate([[-1], got[0]])), pa.array(np.concatenate([[got[2]], got[1]]))], names=["feature", "weight"])
 
@@ -129,7 +162,7 @@ def _fit_rows(bits: int, features: int, min_texts: int, penalty: float):
 
 def train(
     docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, sizes: tuple[int, ...] = GRAMS, bits: int = BITS,
-    features: int = FEATURES, min_texts: int = MIN_TEXTS, penalty: float = PENALTY,
+    least_sure: float = LEAST_SURE, min_texts: int = MIN_TEXTS, penalty: float = PENALTY,
 ) -> tuple[np.ndarray, float] | None:
     """(weight of each feature, intercept), or None where there is nothing to learn."""
     docs = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL")
@@ -138,10 +171,13 @@ def train(
     some = known.where("toxic = 1").orderBy(*by).limit(max_labelled).unionByName(known.where("toxic = 0").orderBy(*by).limit(max_labelled))
     # At most twice max_labelled rows of two numbers: small whatever the tables.
     some = some.groupBy("doc_id", "toxic").agg(F.count("*").alias("n"))
-    texts = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic", "n").agg(F.min("text").alias("text"))
+    # Each text of a labelled doc_id, and so many of them at most: a doc_id can have any number.
+    found = docs.join(F.broadcast(some), "doc_id").distinct()
+    by = [F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("text")]
+    texts = found.where("toxic = 1").orderBy(*by).limit(max_labelled).unionByName(found.where("toxic = 0").orderBy(*by).limit(max_labelled))
     each = texts.selectExpr("toxic", "text", "explode(sequence(1L, n)) AS k").select("toxic", "text")
     model = each.mapInArrow(core.lean(_features(sizes, bits)), "toxic int, body binary").repartition(1).sortWithinPartitions("toxic", "body")
-    got = model.mapInArrow(core.lean(_fit_rows(bits, features, min_texts, penalty)), _MODEL).toArrow()
+    got = model.mapInArrow(core.lean(_fit_rows(bits, least_sure, min_texts, penalty)), _MODEL).toArrow()
     if not got.num_rows:
         return None
     feature, weight = np.asarray(got.column("feature").combine_chunks()), np.asarray(got.column("weight").combine_chunks())

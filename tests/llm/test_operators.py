@@ -137,6 +137,50 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score(frame(spark, []), known).count() == 0
 
 
+def brute_toxicity(rows, labels, sizes=toxicity.GRAMS):
+    """The classifier over n-grams as strings, with plain gradient descent."""
+    grams = lambda t: {f" {t.lower()} "[i : i + n] for n in sizes for i in range(len(t) + 3 - n)}
+    text = dict(rows)
+    known = [(grams(text[d]), y) for d, y in labels]
+    p, q = Counter(), Counter()
+    for g, y in known:
+        (p if y else q).update(g)
+    size = 1 << toxicity.BITS
+    log_p, log_q = math.log(sum(p.values()) + size), math.log(sum(q.values()) + size)
+    r = {}
+    for f in p | q:
+        x = math.log(p[f] + 1) - log_p - math.log(q[f] + 1) + log_q
+        if p[f] + q[f] >= toxicity.MIN_TEXTS and abs(x) / math.sqrt(1 / (p[f] + 1) + 1 / (q[f] + 1)) >= toxicity.LEAST_SURE:
+            r[f] = x
+    names = {f: k for k, f in enumerate(r)}
+    row = lambda g: np.array([r[f] if f in g else 0.0 for f in names])
+    x, y = np.array([row(g) for g, _ in known]), np.array([float(y) for _, y in known])
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, b = np.zeros(len(names)), 0.0
+    step = 1 / ((x**2).sum(axis=1).max() + 1)
+    for _ in range(60_000):
+        g = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - step * (x.T @ g + toxicity.PENALTY / len(y) * w), b - step * g.sum()
+    return {d: 1 / (1 + math.exp(-(row(grams(t)) @ w + b))) for d, t in rows}
+
+
+def test_toxicity_against_strings(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join([rnd.choice(["good", "day", "sun", "tree", "walk"]) for _ in range(6)] + ["idiot"] * (i % 3 == 0 and i % 5 > 0))) for i in range(40)]
+    labels = [(i, int(i % 3 == 0)) for i in range(30)]
+    got = {r.doc_id: r.toxicity for r in toxicity.score(frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
+    want = brute_toxicity(rows, labels)
+    assert all(got[d] == pytest.approx(p, abs=0.03) for d, p in want.items())
+
+
+def test_toxicity_learns_from_every_text_of_a_label(spark):
+    """A doc_id's texts each count, whatever their order; a long text and clashing columns are no trouble."""
+    docs = [(i, t) for i in range(40) for t in ("a quiet day " * (1 + i % 2), "zz scumbag day" if i % 2 else "zz good day")] + [(50, "scumbag"), (51, "word " * 60_000)]
+    known = spark.createDataFrame([(i, i % 2, "t") for i in range(40)], "doc_id bigint, toxic int, text string")
+    got = {r.doc_id: r.toxicity for r in toxicity.score(frame(spark, docs), known).where("doc_id >= 50").collect()}
+    assert got[50] > 0.5 and got[50] > got[51] + 0.05
+
+
 # -- 5 -----------------------------------------------------------------------------------------
 
 
