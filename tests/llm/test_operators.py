@@ -411,6 +411,40 @@ def test_rule_ledger(spark):
     table = {(r.policy, r.rule): r for r in quality_rules.ablation(led).collect()}
     assert table["web_v2", "shouting"].n_failing == 1 and table["web_v2", "shouting"].n_kept_without == 3
     assert quality_rules.ledger(frame(spark, [])).count() == 0
+    mine = {"v3": ["shouting"], "none": []}
+    assert {r.doc_id for r in quality_rules.apply_policies(led, mine).where("keep_v3 AND keep_none").collect()} == {1, 3, 4}
+    assert [(r.policy, r.rule, r.n_failing) for r in quality_rules.ablation(led, mine).collect()] == [("v3", "shouting", 1)]
+    for df in (quality_rules.apply_policies(led), quality_rules.ablation(led)):
+        assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(KeyError):
+        quality_rules.apply_policies(led, {"bad": ["no_such_rule"]})
+
+
+def brute_bits(text):
+    """The rules again, from their meaning."""
+    t = text or ""
+    words, lines = t.split(), [x for x in t.split("\n") if x.strip(" ")]
+    solid, letters = sum(map(len, words)), [c for c in t if "a" <= c.lower() <= "z" and ord(c) < 128]
+    part = lambda a, b: a / b if b else 0.0
+    n, rows = len(words), len(lines)
+    symbols = sum(1 for i, c in enumerate(t) if c in "#$%&*|<>{}\\^~" and (i == 0 or t[i - 1] not in "#$%&*|<>{}\\^~"))
+    alpha = sum(not (33 <= ord(c) < 127 and not (c.isalpha())) for w in words for c in w)
+    fails = {
+        "too_short": n < 3, "too_long": n > 200000, "word_length_low": n >= 3 and part(solid, n) < 2, "word_length_high": part(solid, n) > 16,
+        "symbol_heavy": part(symbols, n) > 0.1, "shouting": n >= 10 and part(sum(c.isupper() for c in letters), len(letters)) > 0.5,
+        "few_letters": n >= 3 and part(alpha, solid) < 0.5, "exclaiming": n >= 10 and part(t.count("!"), n) > 0.2,
+        "repeated_lines": rows >= 4 and part(rows - len(set(lines)), rows) > 0.3, "bullet_lines": rows >= 4 and part(sum(x.lstrip(" ")[:1] in "-*+|" for x in lines), rows) > 0.9,
+        "ellipsis_lines": rows >= 4 and part(sum(x.rstrip(" ").endswith(("...", "…")) for x in lines), rows) > 0.3, "digit_heavy": n >= 10 and part(sum("0" <= c <= "9" for c in t), solid) > 0.2,
+    }
+    return sum(quality_rules.BIT[k] for k, bad in fails.items() if bad)
+
+
+def test_rule_bits_against_their_meaning(spark):
+    rnd = random.Random(11)
+    words = ["plain", "WORDS", "a", "!!!", "12345", "#$", "é", "x" * 40, "stop...", "- item", "\n", "\n\n", "…", "\t"]
+    docs = [(i, " ".join(rnd.choice(rnd.sample(words, rnd.randint(1, 6))) for _ in range(rnd.randint(0, 40)))) for i in range(200)] + EDGES + [(950, "w " * 200_001)]
+    got = Counter((r.doc_id, r.fail_bits) for r in quality_rules.measured(frame(spark, docs)).collect())
+    assert got == Counter((d, brute_bits(t)) for d, t in docs)
 
 
 def test_toxicity_keeps_rows_of_many_slices():
