@@ -220,6 +220,8 @@ class Index:
         self.words = [w.hash[a:z] for a, z in zip(w.off[:-1].tolist(), w.off[1:].tolist())]
         key, owner, place = [], [], []
         for t, h in enumerate(self.words):
+            if len(h) < gram:
+                raise ValueError(f"template {self.names[t]!r} has fewer than {gram} words")
             g = core.grams(h, gram)
             picked = {int(i + np.argmin(g[i : i + window])) for i in range(max(1, len(g) - window + 1))} if len(g) else set()
             for i in sorted(picked):

@@ -388,6 +388,51 @@ def test_license_passages(spark):
     assert rows[3] == [(0, 5, "MIT-notice", 1.0), (7, 12, "MIT-notice", 1.0), (12, 17, "MIT-notice", 1.0)] and rows[4] == []
 
 
+def brute_scan(docs, templates):
+    """Every template aligned with every whole text, again beside what was found: no fingerprints, no bands."""
+    out = set()
+    for d, text in docs:
+        words = text.split()
+        for name, t in templates.items():
+            a, todo = t.split(), [(0, len(words))]
+            ids = {w: i for i, w in enumerate(sorted({*a, *words}))}
+            x, y = np.array([ids[w] for w in a]), np.array([ids[w] for w in words])
+            while todo:
+                lo, hi = todo.pop()
+                if hi - lo < 5:
+                    continue
+                _, matches, i, ei, j, ej = licenses.align(x, y[lo:hi], -len(x), hi - lo)
+                if matches >= licenses.COVERAGE * len(x):
+                    out.add((d, name, lo + j, lo + ej, matches))
+                    todo += [(lo, lo + j), (lo + ej, hi)]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_license_scan_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randint(0, 3000)}"
+    templates = {f"T{k}": " ".join(word() for _ in range(n)) for k, n in enumerate((6, 25, 90, 200))}
+    docs = []
+    for d in range(25):
+        t = [word() for _ in range(rnd.randint(0, 60))]
+        for _ in range(rnd.randint(0, 3)):
+            copy = [w for w in rnd.choice(list(templates.values())).split()]
+            if len(copy) > 50:
+                copy = [word() if i % 19 == 7 else w for i, w in enumerate(copy) if i % 23 != 3]
+            t += copy + [word() for _ in range(rnd.choice([0, 2, 30]))]
+        docs.append((d, " ".join(t)))
+    docs.append((99, " ".join(f"f{i % 901}" for i in range(60_000)) + " " + templates["T2"]))
+    got = {(r.doc_id, r.license, r.doc_start, r.doc_end, r.n_matched) for r in licenses.scan(frame(spark, docs), templates).collect() if r.coverage >= licenses.COVERAGE}
+    assert got - {r for r in got if r[0] == 99} == brute_scan(docs[:-1], templates)
+    assert {r[1:] for r in got if r[0] == 99} == {("T2", 60_000, 60_090, 90)}
+
+
+def test_short_templates_are_refused(spark):
+    with pytest.raises(ValueError):
+        licenses.scan(frame(spark, []), {"x": "BSD licensed"})
+
+
 def test_license_names(spark):
     """Every template is found as itself and as nothing else, as are usual lines without the closing dot."""
     docs = [(k, f"some text before\n{t}\nand after") for k, t in enumerate(licenses.TEMPLATES.values())]
