@@ -30,9 +30,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """What the optimizer knows of a frame's size: for a scan, the bytes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of all that a frame reads (for a scan, of its files), or None where a source doesn't know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(n >= 1 << 60 for n in sizes) else sum(sizes)
 
 
 def spread_over_cores(df: DataFrame) -> DataFrame:
