@@ -13,9 +13,6 @@ that Spark runs the same tasks again.
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -25,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import input_bytes, kept, spread_over_cores  # noqa: F401
 
 #: The same words for DuckDB (RE2) and Python's ``re``.
 WORD_SQL = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
@@ -246,8 +244,15 @@ def spread(df: DataFrame, n: int) -> DataFrame:
 # -- frames ----------------------------------------------------------------------------------
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input that a partition of an exchange is for, where the session asks for too few partitions.
+PART_BYTES = 64 << 20
+
+
+def parts(docs: DataFrame) -> int:
+    """Partitions of an exchange over ``docs``: what the session sets, or more where these would be large."""
+    asked = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(docs)
+    return asked if size is None else max(asked, -(-size // PART_BYTES))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -257,23 +262,5 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set here only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder once and read it from there."""
-    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_over_cores(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -100,7 +100,7 @@ def pack_documents(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
         "doc_id", "piece", f"piece * {max_len} AS first_word", f"least(words - piece * {max_len}, {max_len}) AS n_words"
     )
     # Groups are ranges of a hash, so a rank is the group's start plus the place inside it.
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS * core.parts(spark))))
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS * core.parts(base))))
     sizes = pieces.groupBy("n_words", "grp").agg(F.count("*").alias("n"))
     starts = sizes.select(
         "n_words", "grp", (F.sum("n").over(Window.partitionBy("n_words").orderBy("grp")) - F.col("n")).alias("start")

@@ -331,7 +331,7 @@ def repeated_spans(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     """(doc_id, start_word, n_words): maximal runs of windows of ``least`` words that occur twice or more."""
     if least < 2:
         raise ValueError("least must be at least 2")
-    p = core.parts(docs.sparkSession)
+    p = core.parts(docs)
     base = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr(
         "xxhash64(CAST(doc_id AS BIGINT), text) AS name", "CAST(doc_id AS BIGINT) AS doc_id", "text"
     )

@@ -488,7 +488,7 @@ def maximal_repeats(docs: DataFrame, *, least: int = LEAST, sort_words: int = SO
     with the longest repeat that has it; the first occurrence of a repeat is listed with it in any case.
     ``sort_words`` changes how, not what.
     """
-    return core.spread(_suffixes(docs, least), core.parts(docs.sparkSession)).mapInArrow(core.lean(_tree(least, sort_words)), _OUT)
+    return core.spread(_suffixes(docs, least), core.parts(docs)).mapInArrow(core.lean(_tree(least, sort_words)), _OUT)
 
 
 def occurrences(tree: DataFrame) -> DataFrame:
@@ -505,7 +505,7 @@ def _suffixes(docs: DataFrame, least: int) -> DataFrame:
         raise ValueError("least must be at least 2")
     spark = docs.sparkSession
     gram = max(1, least // 2)
-    p = core.parts(spark)
+    p = core.parts(docs)
     base = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("xxhash64(text) AS name", "CAST(doc_id AS BIGINT) AS doc_id", "text")
     posted = core.spread(base.select("name", "text").mapInArrow(core.lean(_anchor_rows(least, gram, p)), core.PACKED), p)
     flags = posted.mapInArrow(core.lean(_shared(p)), core.PACKED)
@@ -640,7 +640,7 @@ def without_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     All columns stay; ``n_chars``, where there is one, follows the text.  A text of which nothing is left
     goes.  Rows without a doc_id, and doc_ids with several texts, stay as they are.
     """
-    p = core.parts(docs.sparkSession)
+    p = core.parts(docs)
     ids = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "xxhash64(text) AS h")
     several = ids.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id")
     later = core.spread(core.spread(_suffixes(docs, least), p).mapInArrow(core.lean(_later(least, SORT_WORDS, p)), core.PACKED), p)

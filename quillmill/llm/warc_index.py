@@ -164,7 +164,7 @@ def capture_histories(pages: DataFrame) -> DataFrame:
         "spark_partition_id() AS run_id", f"{key} AS url_key", "CAST(capture_ts AS BIGINT) AS capture_ts", "CAST(page_id AS BIGINT) AS page_id", "url", "md5(html) AS digest"
     )
     runs = core.kept(entries.sortWithinPartitions("url_key", "capture_ts", "page_id", "url", "digest"), "runs")
-    ranges = runs.repartitionByRange(core.parts(spark), "url_key")
+    ranges = runs.repartitionByRange(core.parts(runs), "url_key")
     merged = core.kept(ranges.mapInArrow(core.lean(_merge), _SCHEMA), "merged")
     sizes = merged.groupBy("range_id").agg(F.count("*").alias("n"))
     # One row a range: bounded by the number of partitions.
