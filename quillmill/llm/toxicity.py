@@ -176,7 +176,8 @@ def train(
     by = [F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("text")]
     texts = found.where("toxic = 1").orderBy(*by).limit(max_labelled).unionByName(found.where("toxic = 0").orderBy(*by).limit(max_labelled))
     each = texts.selectExpr("toxic", "text", "explode(sequence(1L, n)) AS k").select("toxic", "text")
-    model = each.mapInArrow(core.lean(_features(sizes, bits)), "toxic int, body binary").repartition(1).sortWithinPartitions("toxic", "body")
+    # The limits leave the texts in one partition each; their features are made by all.
+    model = each.repartition(core.parts(docs)).mapInArrow(core.lean(_features(sizes, bits)), "toxic int, body binary").repartition(1).sortWithinPartitions("toxic", "body")
     got = model.mapInArrow(core.lean(_fit_rows(bits, least_sure, min_texts, penalty)), _MODEL).toArrow()
     if not got.num_rows:
         return None
