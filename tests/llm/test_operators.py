@@ -197,43 +197,64 @@ def brute_scores(corpus, query):
             p, used = (count(w[i - m : i + 1]) + p) / (c + 1), m
         logs += math.log(p)
         ctx.append(used)
-    return len(w), logs / len(w), max(ctx)
+    return len(w), logs / len(w), math.exp(-logs / len(w)), sum(ctx) / len(w), max(ctx), sum(not count([x]) for x in w)
 
 
-@pytest.mark.parametrize("shard_words,slice_bytes", [(40, 1 << 20), (1 << 20, 60)])
-def test_lm_scores(spark, shard_words, slice_bytes):
+def scores_of(r):
+    return r.n_words, r.mean_log_prob, r.perplexity, r.mean_context, r.longest_context, r.n_unseen
+
+
+@pytest.mark.parametrize("shard_words,block_words,parts", [(40, 1 << 20, 4), (1 << 20, 25, 3), (25, 30, 1)])
+def test_lm_scores(spark, shard_words, block_words, parts):
     rnd = random.Random(9)
     corpus = [" ".join(rnd.choice(["a", "b", "c", "dd"]) for _ in range(rnd.randint(0, 30))) for _ in range(20)] + [None, ""]
-    items = [(i, corpus[i] + " zz a b") for i in range(6)] + [(7, "a a a"), (7, "a a a"), (8, None), (9, "")]
-    got = lm_score.score(spark.createDataFrame(items, "item_id bigint, text string"), frame(spark, list(enumerate(corpus))), shard_words=shard_words, slice_bytes=slice_bytes).collect()
-    assert len(got) == len(items)
-    by = {r.item_id: r for r in got}
-    for i, t in items:
+    items = [(i, corpus[i] + " zz a b") for i in range(6)] + [(7, "a a a"), (7, "a a a"), (8, None), (9, ""), (10, "zz yy xx"), (None, "a b c dd")]
+    queries = spark.createDataFrame([(*x, "c") for x in items], "item_id bigint, text string, corpus string").repartition(parts)
+    got = lm_score.score(queries, frame(spark, list(enumerate(corpus))).repartition(parts), shard_words=shard_words, block_words=block_words).collect()
+    assert Counter(r.item_id for r in got) == Counter(i for i, _ in items)
+    for r in got:
+        t = dict(items)[r.item_id]
         if not t:
-            assert by[i].mean_log_prob is None and by[i].n_words == 0
-            continue
-        n, mean, longest = brute_scores(corpus, t)
-        assert (by[i].n_words, by[i].longest_context) == (n, longest) and by[i].mean_log_prob == pytest.approx(mean)
-    empty = lm_score.score(spark.createDataFrame(items[:1], "item_id bigint, text string"), frame(spark, [])).collect()
-    assert empty[0].n_unseen == empty[0].n_words
+            assert tuple(r)[1:] == (0, None, None, None, None, 0)
+        else:
+            assert scores_of(r) == pytest.approx(brute_scores(corpus, t))
+    empty = lm_score.score(queries.where("item_id = 0"), frame(spark, [])).collect()
+    assert empty[0].n_unseen == empty[0].n_words > 0
+    assert lm_score.score(queries.limit(0), frame(spark, list(enumerate(corpus)))).count() == 0
 
 
 def test_lm_scores_of_documents(spark, tmp_path):
-    """Documents are the queries: copies, runs of one word and a text of more words than 16 bits count."""
+    """A twentieth of the documents are the queries: copies, runs of one word and a text of more words than 16 bits count."""
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 40))) for _ in range(12)]
     texts += [texts[0], texts[0] + " new", "a " * 30]
-    frame(spark, [*enumerate(texts), (90, None)]).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.item_id: r for r in lm_score.query(spark, str(tmp_path)).collect()}
-    assert set(got) == {*range(len(texts)), 90}
-    for i, t in enumerate(texts):
-        n, mean, longest = brute_scores(texts, t)
-        assert (got[i].n_words, got[i].longest_context, got[i].n_unseen) == (n, longest, 0) and got[i].mean_log_prob == pytest.approx(mean)
+    docs = [(20 * i if i % 2 else i, t) for i, t in enumerate(texts)]
+    frame(spark, [*docs, (900, None), (None, "a b")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in lm_score.query(spark, str(tmp_path)).collect()}
+    assert set(got) == {d for d, _ in docs if d % 20 == 0} | {900}
+    for d, t in docs:
+        if d % 20 == 0:
+            assert scores_of(got[d]) == pytest.approx(brute_scores([*texts, "a b"], t))
     long = [(1, " ".join(str(rnd.randint(0, 5000)) for _ in range(70_000)))]
     r = lm_score.score(spark.createDataFrame(long, "item_id bigint, text string"), frame(spark, long)).first()
     assert (r.n_words, r.longest_context, r.mean_context, r.n_unseen) == (70_000, 69_999, 69_999 / 2, 0)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_lm_scores_of_texts_that_share_much(spark, seed):
+    """Copies with changes, in both sides: long shared contexts of many different counts."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randint(0, 30)}" for _ in range(60)]
+    def copy():
+        t = base[rnd.randint(0, 20) : rnd.randint(30, 60)]
+        return " ".join(w if rnd.random() > 0.03 else "x" for w in t)
+    corpus = [copy() for _ in range(40)] + ["w1 " * 25] * 2
+    items = [(i, copy() if i % 3 else corpus[i]) for i in range(15)]
+    got = lm_score.score(spark.createDataFrame(items, "item_id bigint, text string"), frame(spark, list(enumerate(corpus))), shard_words=300, block_words=200).collect()
+    for r in got:
+        assert scores_of(r) == pytest.approx(brute_scores(corpus, items[r.item_id][1]))
+
+
 # -- 6 -----------------------------------------------------------------------------------------
 
 
