@@ -1,16 +1,18 @@
 """External merge of locally sorted capture runs into globally ordered capture histories.
 
-Every map task writes a run of index entries sorted by (URL key, timestamp, page_id, url) to the
-shared folder; no page body travels.  Runs are then cut at common range boundaries, and each range
-merges its pieces of the runs with a loser tree, taking from the winning run every entry that
-precedes the runner-up at once.  A URL key lies in one range, so a history is numbered where it is
-merged; the ranges' sizes, summed in order, turn places into global ranks.
+Every map task writes a run of index entries sorted by (URL key, timestamp, page_id, url, digest) to
+the shared folder; no page body travels.  Runs are then cut at common boundaries of that whole order, so
+the captures of a hot URL lie in as many ranges as they fill, and each range merges its pieces of the
+runs with a loser tree, taking from the winning run every entry that precedes the runner-up at once.
+Each range numbers what it has; one row a range (its first and last key and their captures), summed in
+order, turns places into global ranks and carries a history from range to range.
 
 URL key: lower case, without scheme, ``www.``, default port, fragment, ``utm_*`` parameters and a
 closing slash, host labels reversed (``com,example,blog)/en/1``).
 Cases: a null url has the key ``''`` and sorts first, as do null timestamps within a key; equal
 (key, timestamp) are ordered by page_id, then url, nulls first; repeated rows stay; a null body has
-a null digest, which never counts as a revisit; an empty table gives an empty result.
+a null digest, which never counts as a revisit; bodies and urls of any length are read whole; an empty
+table gives an empty result; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import core
 
-_SCHEMA = "range_id int, place bigint, url_key string, capture_ts bigint, page_id bigint, url string, digest string, capture_seq bigint, prev_ts bigint, is_revisit boolean"
+_SCHEMA = "range_id int, place bigint, at_first boolean, url_key string, capture_ts bigint, page_id bigint, url string, digest string, capture_seq bigint, prev_ts bigint, is_revisit boolean"
 
 
 def url_key_sql(url: str) -> str:
@@ -130,12 +132,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [b.column(n).to_pylist() for n in ("run_id", "url_key", "capture_ts", "page_id", "url", "digest")]
         for run, key, ts, page, url, digest in zip(*cols):
             runs.setdefault(run, []).append((key, _orderable(ts), _orderable(page), _orderable(url), _orderable(digest)))
-    for r in runs.values():
-        r.sort()  # the exchange keeps a run's order, so this is one linear pass
-    rows, before, seq, place = [], None, 0, 0
+    rows, before, seq, place, at_first = [], None, 0, 0, True
 
     def batch() -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
@@ -144,8 +144,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ts, page, url, digest = entry
         same = before is not None and before[0] == key
         seq = seq + 1 if same else 1
+        at_first = at_first and (same or before is None)
         d = value(digest)
-        rows.append((range_id, place, key, value(ts), value(page), value(url), d, seq, value(before[1]) if same else None, bool(same and d is not None and before[4] == digest)))
+        rows.append((range_id, place, at_first, key, value(ts), value(page), value(url), d, seq, value(before[1]) if same else None, bool(same and d is not None and before[4] == digest)))
         before, place = entry, place + 1
         if len(rows) == 20000:
             yield batch()
@@ -163,15 +164,35 @@ def capture_histories(pages: DataFrame) -> DataFrame:
     entries = core.pick(pages, "page_id", "url", "html", "capture_ts").selectExpr(
         "spark_partition_id() AS run_id", f"{key} AS url_key", "CAST(capture_ts AS BIGINT) AS capture_ts", "CAST(page_id AS BIGINT) AS page_id", "url", "md5(html) AS digest"
     )
-    runs = core.kept(entries.sortWithinPartitions("url_key", "capture_ts", "page_id", "url", "digest"), "runs")
-    ranges = runs.repartitionByRange(core.parts(runs), "url_key")
+    order = ["url_key", "capture_ts", "page_id", "url", "digest"]
+    runs = core.kept(entries.sortWithinPartitions(*order), "runs")
+    # Each range's piece of a run comes in order again, whatever the exchange did.
+    ranges = runs.repartitionByRange(core.parts(runs), *order).sortWithinPartitions("run_id", *order)
     merged = core.kept(ranges.mapInArrow(core.lean(_merge), _SCHEMA), "merged")
-    sizes = merged.groupBy("range_id").agg(F.count("*").alias("n"))
+    ends = merged.groupBy("range_id").agg(
+        F.count("*").alias("n"), F.min_by("url_key", "place").alias("first_key"),
+        *[F.max_by(c, "place").alias(f"last_{c}") for c in ("url_key", "capture_seq", "capture_ts", "digest")],
+    )
+    carried = spark.createDataFrame(_carried(ends.orderBy("range_id").collect()), "range_id int, start bigint, open boolean, seq bigint, ts bigint, body string")
     # One row a range: bounded by the number of partitions.
-    starts = sizes.select("range_id", (F.sum("n").over(Window.orderBy("range_id")) - F.col("n")).alias("start"))
-    return merged.join(F.broadcast(starts), "range_id").selectExpr(
-        "start + place + 1 AS global_rank", "url_key", "capture_ts", "page_id", "url", "digest", "capture_seq", "prev_ts", "is_revisit"
-    )
+    joined = merged.join(F.broadcast(carried), "range_id")
+    goes_on, first = F.col("open") & F.col("at_first"), F.col("open") & (F.col("place") == 0)
+    return joined.select(
+        (F.col("start") + F.col("place") + 1).alias("global_rank"), "url_key", F.col("capture_ts"), "page_id", "url", "digest",
+        (F.col("capture_seq") + F.when(goes_on, F.col("seq")).otherwise(0)).alias("capture_seq"), F.when(first, F.col("ts")).otherwise(F.col("prev_ts")).alias("prev_ts"),
+        F.when(first, F.coalesce(F.col("body") == F.col("digest"), F.lit(False))).otherwise(F.col("is_revisit")).alias("is_revisit"),
+    )
+
+
+def _carried(ends: list) -> list[tuple]:
+    """(range, entries before it, whether its first history goes on from before, captures and last capture of that)."""
+    out, start, before, seq = [], 0, None, 0
+    for r in ends:
+        open_ = before is not None and before.last_url_key == r.first_key
+        out.append((r.range_id, start, open_, seq if open_ else 0, before.last_capture_ts if open_ else None, before.last_digest if open_ else None))
+        seq = r.last_capture_seq + (seq if open_ and r.first_key == r.last_url_key else 0)
+        start, before = start + r.n, r
+    return out
 
 
 #: The test tables carry no capture time; one is made from the page's number.

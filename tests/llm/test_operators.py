@@ -33,6 +33,26 @@ def test_warc_histories(spark):
     assert warc_index.capture_histories(spark.createDataFrame([], "page_id bigint, url string, html string, capture_ts bigint")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_warc_histories_of_a_hot_url(spark, seed):
+    """One url has most captures and lies in several ranges; long urls, clashing columns, ties and repeated rows."""
+    rnd = random.Random(seed)
+    pages = [(i, rnd.choice(["http://hot.com/x"] * 8 + [f"http://c{rnd.randint(0, 5)}.com/" + "y" * rnd.choice([1, 50_000])]), rnd.choice(["a", "b", None]), rnd.choice([None, rnd.randint(0, 40)]), "k") for i in range(300)]
+    pages += pages[:20]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string, capture_ts bigint, url_key string").repartition(6)
+    got = warc_index.capture_histories(df).orderBy("global_rank").collect()
+    low = lambda x: (x is not None, x if x is not None else 0)
+    key = lambda p: ",".join(reversed(p[1][7:].split("/")[0].split("."))) + ")/" + p[1][7:].split("/", 1)[1]
+    rows = sorted(((key(p), p[3], p[0], p[2]) for p in pages), key=lambda r: (r[0], low(r[1]), r[2]))
+    want, before, seq = [], None, 0
+    for n, (k, ts, page, body) in enumerate(rows, 1):
+        same = before is not None and before[0] == k
+        seq = seq + 1 if same else 1
+        want.append((n, k, ts, page, seq, before[1] if same else None, bool(same and body is not None and before[3] == body)))
+        before = (k, ts, page, body)
+    assert [(r.global_rank, r.url_key, r.capture_ts, r.page_id, r.capture_seq, r.prev_ts, r.is_revisit) for r in got] == want
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_loser_tree(seed):
     rnd = random.Random(seed)
