@@ -49,7 +49,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
+            size = 1 << (n - 1).bit_length() if n < 1 << 20 else -(-n >> 20) << 20
 
             def table(x: int) -> np.ndarray:
                 full = np.full(size, x, dtype=np.uint64)
