@@ -10,6 +10,7 @@ feature, so scoring is one pass over all texts, which are read whole, without an
 
 ``max_labelled`` bounds the fit only, to so many labels and so many texts of each class; every document is
 scored, in whole.  The model has at most ``1 << BITS`` weights.
+A text without any feature takes part in the fit as one that isn't toxic, of weight ``EMPTY`` (each class has 0.5).
 Cases: a null or empty text has no features and gets the intercept's score; texts of any length are read
 whole; labels that are null are ignored, several labels of one doc_id each count, as does each different
 text of one doc_id; equally good features all stay; repeated documents are each scored; a null doc_id
@@ -32,10 +33,11 @@ from . import core
 GRAMS = (3, 4, 5, 6)
 BITS = 20
 MAX_LABELLED = 2000
-LEAST_SURE = 2.0
+LEAST_SURE = 1.5
 MIN_TEXTS = 4
 #: Weight of the squared weights beside the mean loss of ``n`` texts, times n.
 PENALTY = 0.01
+EMPTY = 0.05
 THRESHOLD = 0.6
 
 _MODEL = "feature bigint, weight double"
@@ -102,16 +104,17 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int, least_sure: float,
     of = row[heads]
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        w, z = v[:-1], np.full(n, v[-1])
+        w, b = v[:-1], v[-1]
+        z = np.full(n, b)
         if len(heads):
             z[of] += np.add.reduceat(x * w[col], heads)
         g = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        down = np.append(np.bincount(col, x * g[row], len(w)) + penalty / n * w, g.sum())
-        return float((share * (np.logaddexp(0, z) - y * z)).sum() + penalty / n / 2 * (w @ w)), down
+        empty = EMPTY / (1 + np.exp(-np.clip(b, -500, 500)))
+        down = np.append(np.bincount(col, x * g[row], len(w)) + penalty / n * w, g.sum() + empty)
+        return float((share * (np.logaddexp(0, z) - y * z)).sum() + EMPTY * np.logaddexp(0, b) + penalty / n / 2 * (w @ w)), down
 
     v = minimum(loss, np.zeros(len(chosen) + 1))
-    w, b = v[:-1], float(v[-1])
-    return chosen, w * r[chosen], b
+    return chosen, v[:-1] * r[chosen], float(v[-1])
 
 
 def minimum(loss, v: np.ndarray, *, steps: int = 200, memory: int = 10, close: float = 1e-6) -> np.ndarray:

@@ -180,7 +180,7 @@ def brute_toxicity(rows, labels, sizes=toxicity.GRAMS):
     step = 1 / ((x**2).sum(axis=1).max() + 1)
     for _ in range(60_000):
         g = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
-        w, b = w - step * (x.T @ g + toxicity.PENALTY / len(y) * w), b - step * g.sum()
+        w, b = w - step * (x.T @ g + toxicity.PENALTY / len(y) * w), b - step * (g.sum() + toxicity.EMPTY / (1 + math.exp(-b)))
     return {d: 1 / (1 + math.exp(-(row(grams(t)) @ w + b))) for d, t in rows}
 
 
