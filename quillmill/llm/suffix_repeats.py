@@ -43,7 +43,7 @@ LEAST = 50
 
 _U = np.uint64
 _ROWS = "bucket int, kind int, name bigint, doc_id bigint, payload binary, text string"
-_REGION = "region bigint, doc_ids binary, words bigint, begin bigint, tokens binary, starts binary"
+_REGION = "region bigint, name bigint, doc_ids binary, words bigint, begin bigint, tokens binary, starts binary"
 _OUT = "repeat_id bigint, n_words bigint, n_occurrences bigint, doc_id bigint, start bigint, root bigint, first_place bigint, last_place bigint, place bigint"
 
 
@@ -196,9 +196,9 @@ def _regions(least: int, gram: int):
                         if not len(starts):
                             continue
                         region = core.mix(np.array([(x * 1000003 + s) % (1 << 64)], dtype=np.uint64)).view(np.int64)[0]
-                        rows.append((int(region), docs, size, s, tok[a + max(0, s - 1) : a + e].tobytes(), starts.astype(np.uint32).tobytes()))
+                        rows.append((int(region), x, docs, size, s, tok[a + max(0, s - 1) : a + e].tobytes(), starts.astype(np.uint32).tobytes()))
                 if rows:
-                    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _REGION.split(", ")])
 
     return run
@@ -261,7 +261,7 @@ def _region_rows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             region = np.asarray(b.column("region"))
-            head = [np.array([w, s, len(d) // 8], dtype=np.int64).tobytes() + d + t for w, s, d, t in zip(*[b.column(c).to_pylist() for c in ("words", "begin", "doc_ids", "tokens")])]
+            head = [np.array([x, w, s, len(d) // 8], dtype=np.int64).tobytes() + d + t for x, w, s, d, t in zip(*[b.column(c).to_pylist() for c in ("name", "words", "begin", "doc_ids", "tokens")])]
             n = b.num_rows
             yield pa.record_batch([pa.array(core.buckets_of(region.view(np.uint64), buckets)), pa.array(np.ones(n, dtype=np.int32)), pa.array(region), pa.array(head, pa.binary())], names=["bucket", "kind", "name", "payload"])
 
@@ -291,15 +291,15 @@ def _suffix_rows(buckets: int):
         size = 0
         for k, (i, j) in enumerate(zip(heads.tolist(), tails.tolist())):
             body = bodies[int(region[i])]
-            words, begin, m = np.frombuffer(body, np.int64, 3).tolist()
-            tok = np.frombuffer(body, np.uint64, offset=24 + 8 * m)
+            name, words, begin, m = np.frombuffer(body, np.int64, 4).tolist()
+            tok = np.frombuffer(body, np.uint64, offset=32 + 8 * m)
             lead = 1 if begin > 0 else 0
             place = at[i:j].astype(np.int64) - begin + lead
             stop = int((place + limit[i:j]).max())
             part = tok[int(place[0]) : stop]
-            head = np.array([int(h[i].view(np.int64)), words, m, j - i, len(part)], dtype=np.int64).tobytes()
+            head = np.array([int(h[i].view(np.int64)), name, words, m, j - i, len(part)], dtype=np.int64).tobytes()
             out[0].append(int(bucket[k]))
-            out[1].append(head + body[24 : 24 + 8 * m] + left[i:j].tobytes() + part.tobytes() + at[i:j].tobytes() + limit[i:j].astype(np.uint32).tobytes() + first[i:j].tobytes())
+            out[1].append(head + body[32 : 32 + 8 * m] + left[i:j].tobytes() + part.tobytes() + at[i:j].tobytes() + limit[i:j].astype(np.uint32).tobytes() + first[i:j].tobytes())
             size += len(out[1][-1])
             if size > 1 << 22:
                 yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["bucket", "payload"])
@@ -363,12 +363,12 @@ def _array(sort_words: int):
     """Enhanced suffix array of a root: order, common prefixes, and what each suffix is."""
 
     def build(members: list[bytes]) -> tuple:
-        suffix, left, first, docs, start, ends = [], [], [], [], [], []
+        suffix, left, first, docs, start, ends, names = [], [], [], [], [], [], []
         parts, places, size, total = [], [], 0, 0
         read = []
         for p in members:
-            _, words, m, n, k = np.frombuffer(p, np.int64, 5).tolist()
-            at = 40
+            _, name, words, m, n, k = np.frombuffer(p, np.int64, 6).tolist()
+            at = 48
             ids = np.frombuffer(p, np.int64, m, at).tolist()
             at += 8 * m
             lw = np.frombuffer(p, np.uint64, n, at).tolist()
@@ -377,10 +377,10 @@ def _array(sort_words: int):
             pos = np.frombuffer(p, np.uint32, n, at).tolist()
             lim = np.frombuffer(p, np.uint32, n, at + 4 * n).tolist()
             fs = np.frombuffer(p, np.uint8, n, at + 8 * n).tolist()
-            read.append((ids, pos, words, n, lw, lim, tok, fs))
+            read.append((ids, pos, words, n, lw, lim, tok, fs, name))
         # Whatever order they arrived in.
-        read.sort(key=lambda r: (r[0], r[1][0], r[2]))
-        for ids, pos, words, n, lw, lim, tok, fs in read:
+        read.sort(key=lambda r: (r[0], r[1][0], r[8]))
+        for ids, pos, words, n, lw, lim, tok, fs, name in read:
             parts.append(tok)
             for i in range(n):
                 o = pos[i] - pos[0]
@@ -390,6 +390,7 @@ def _array(sort_words: int):
                 left.append(lw[i])
                 first.append(fs[i])
                 docs.append(ids)
+                names.append(name)
                 start.append(pos[i])
                 ends.append(words - pos[i])
             size += len(tok) + 1
@@ -399,7 +400,7 @@ def _array(sort_words: int):
             keys = [x.astype(">u8").tobytes() for x in suffix]
             order = sorted(range(len(suffix)), key=keys.__getitem__)
             del keys
-        return order, [_common(suffix[a], suffix[b]) for a, b in zip(order, order[1:])], left, first, docs, start, ends
+        return order, [_common(suffix[a], suffix[b]) for a, b in zip(order, order[1:])], left, first, docs, start, ends, names
 
     return build
 
@@ -409,7 +410,7 @@ def _tree(least: int, sort_words: int):
     build = _array(sort_words)
 
     def scan(root: int, members: list[bytes]) -> Iterator[tuple]:
-        order, lcp, left, first, docs, start, ends = build(members)
+        order, lcp, left, first, docs, start, ends, _ = build(members)
         # Places up to i at which the left word changes; a text's start differs from any.
         change, copies = [0], [0]
         for a, b in zip(order, order[1:]):
@@ -523,16 +524,16 @@ def _suffixes(docs: DataFrame, least: int) -> DataFrame:
 # -- cutting repeats ---------------------------------------------------------------------------
 
 
-def _joined(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of each document, those that touch joined."""
-    o = np.lexsort((lo, doc))
-    doc, lo, hi = doc[o], lo[o], hi[o]
-    rank = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)]))
+def _joined(doc: np.ndarray, name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of each text of a document, those that touch joined."""
+    o = np.lexsort((lo, name, doc))
+    doc, name, lo, hi = doc[o], name[o], lo[o], hi[o]
+    rank = np.cumsum(np.concatenate([[0], ((doc[1:] != doc[:-1]) | (name[1:] != name[:-1])).astype(np.int64)]))
     width = int(hi.max()) + 2
     reach = np.maximum.accumulate(rank * width + hi)
     first = np.flatnonzero(np.concatenate([[True], rank[1:] * width + lo[1:] > reach[:-1]]))
     last = np.concatenate([first[1:], [len(doc)]]) - 1
-    return doc[first], lo[first], reach[last] - rank[last] * width
+    return doc[first], name[first], lo[first], reach[last] - rank[last] * width
 
 
 def _later(least: int, sort_words: int, buckets: int):
@@ -544,8 +545,8 @@ def _later(least: int, sort_words: int, buckets: int):
     """
     build = _array(sort_words)
 
-    def scan(members: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        order, lcp, _, first, docs, start, ends = build(members)
+    def scan(members: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        order, lcp, _, first, docs, start, ends, names = build(members)
         inner = [0] * len(order)  # the longest repeat at each place of the order
         open_: list[list[int]] = []  # for each open stretch of the order: its first place, and the place of its first occurrence
         for length, i, j in intervals(lcp):
@@ -566,13 +567,13 @@ def _later(least: int, sort_words: int, buckets: int):
             for k in lead:
                 if k != best:
                     x = order[k]
-                    yield docs[x][0], start[x], start[x] + length
+                    yield docs[x][0], names[x], start[x], start[x] + length
             open_.append([i, best, j])
         for k, x in enumerate(order):
             for d in docs[x][1:]:  # further copies of a text
                 n = max(inner[k], ends[x] if first[x] and ends[x] >= least else 0)
                 if n:
-                    yield d, start[x], start[x] + n
+                    yield d, names[x], start[x], start[x] + n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, list[bytes]] = {}
@@ -581,8 +582,8 @@ def _later(least: int, sort_words: int, buckets: int):
         packer, held = core.Packer(buckets), []
 
         def send() -> Iterator[pa.RecordBatch]:
-            doc, lo, hi = _joined(*np.array(held, dtype=np.int64).T)
-            yield from packer.add(doc.view(np.uint64), doc, lo.astype(np.uint32), hi.astype(np.uint32))
+            doc, name, lo, hi = _joined(*np.array(held, dtype=np.int64).T)
+            yield from packer.add(doc.view(np.uint64), doc, name, lo.astype(np.uint32), hi.astype(np.uint32))
             held.clear()
 
         for h in list(groups):
@@ -598,12 +599,12 @@ def _later(least: int, sort_words: int, buckets: int):
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    doc, lo, hi = core.unpack(core.payloads(batches), ["i8", "u4", "u4"])
+    doc, name, lo, hi = core.unpack(core.payloads(batches), ["i8", "i8", "u4", "u4"])
     if len(doc):
-        doc, lo, hi = _joined(doc, lo.astype(np.int64), hi.astype(np.int64))
-        cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+        doc, name, lo, hi = _joined(doc, name, lo.astype(np.int64), hi.astype(np.int64))
+        cuts = [0, *(np.flatnonzero((np.diff(doc) != 0) | (np.diff(name) != 0)) + 1).tolist(), len(doc)]
         both = np.stack([lo, hi], axis=1).astype(np.uint32)
-        yield pa.record_batch([pa.array(doc[cuts[:-1]]), pa.array([both[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["doc_id", "spans"])
+        yield pa.record_batch([pa.array(doc[cuts[:-1]]), pa.array(name[cuts[:-1]]), pa.array([both[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["of", "name", "spans"])
 
 
 def _cut(text_at: int, chars_at: int):
@@ -638,17 +639,19 @@ def without_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     """``docs`` with every repeat of ``least`` words or more left only where it is first (by doc_id and place).
 
     All columns stay; ``n_chars``, where there is one, follows the text.  A text of which nothing is left
-    goes.  Rows without a doc_id, and doc_ids with several texts, stay as they are.
+    goes.  Each text of a doc_id is cut by itself, and rows without a doc_id come last; rows of one doc_id
+    (or of none) and one text are alike.  Null texts stay.
     """
     p = core.parts(docs)
-    ids = core.pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "xxhash64(text) AS h")
-    several = ids.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id")
-    later = core.spread(core.spread(_suffixes(docs, least), p).mapInArrow(core.lean(_later(least, SORT_WORDS, p)), core.PACKED), p)
-    spans = later.mapInArrow(core.lean(_spans), "doc_id bigint, spans binary").join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", "of")
+    last = f"coalesce(CAST({{}} AS BIGINT), {(1 << 63) - 1})"
+    ids = core.pick(docs, "doc_id", "text").selectExpr(f"{last.format('doc_id')} AS doc_id", "text")
+    later = core.spread(core.spread(_suffixes(ids, least), p).mapInArrow(core.lean(_later(least, SORT_WORDS, p)), core.PACKED), p)
+    spans = later.mapInArrow(core.lean(_spans), "of bigint, name bigint, spans binary")
     names = [f"c{i}" for i in range(len(docs.columns))]
     doc_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
-    joined = docs.toDF(*names).join(spans, F.col(f"c{doc_at}").cast("bigint") == F.col("of"), "left").drop("of")
+    same = (F.expr(last.format(f"c{doc_at}")) == F.col("of")) & (F.xxhash64(f"c{text_at}") == F.col("name"))
+    joined = docs.toDF(*names).join(spans, same, "left").drop("of", "name")
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
     return joined.mapInArrow(core.lean(_cut(text_at, chars_at)), fields).toDF(*docs.columns)
 

@@ -49,7 +49,12 @@ def test_cut_edges(spark):
     rows = [(1, one, None), (2, one, None), (3, "x " + one + "\nÄ y", 9), (None, one, 1), (5, None, None), (6, one, 0), (6, "other", 0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
     got = {(r.doc_id, r.text, r.n_chars) for r in suffix_repeats.without_repeats(docs, least=20).collect()}
-    assert got == {(1, one, None), (3, "x Ä y", 5), (None, one, 1), (5, None, None), (6, one, 0), (6, "other", 0)}
+    assert got == {(1, one, None), (3, "x Ä y", 5), (5, None, None), (6, "other", 0)}
+    # Rows without a doc_id come last; a doc_id's texts are cut each, also against each other.
+    rows = [(None, one + " a", None), (None, "b " + one, None), (7, one, None), (7, "c " + one, None), (7, "c " + one, None)]
+    got = sorted((r.doc_id or 0, r.text) for r in suffix_repeats.without_repeats(spark.createDataFrame(rows, docs.schema), least=20).collect())
+    assert [(d, len(t.split())) for d, t in got] == [(0, 1), (0, 1), (7, 1), (7, 1), (7, 60)] or [(d, len(t.split())) for d, t in got] == [(0, 1), (0, 1), (7, 61), (7, 61)]
+    assert suffix_repeats.without_repeats(docs.limit(0)).count() == 0
 
 
 def test_cut_against_brute_force(spark):
