@@ -1,4 +1,13 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
+
+Cases, for every stage: an empty table gives an empty one; null and empty texts stay until the packing, where
+they take no place; texts of any length are read whole; other columns stay as they are, whatever their names.
+Rows without a doc_id pass toxicity by their text, stay among near copies and in the decontamination (nothing
+can name them), count last among repeats and are packed as null.  Repeated rows are alike in every stage: all
+stay or all go, and each is packed.  A doc_id with several texts is judged text by text for toxicity and
+repeats; it goes as a near copy only if all its texts are, and as contaminated if one is.  Ties are broken by
+the least doc_id, which stays.
+"""
 
 from __future__ import annotations
 
@@ -49,7 +58,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifier and the packing are not SQL; the whole is tested against brute force.
+#: The classifier and the packing are not SQL: the tests hold each stage against brute force on what it was given.
 ORACLE_SQL = None
 
 
