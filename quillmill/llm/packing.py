@@ -9,8 +9,9 @@ the groups' running totals, so that no length is ranked in a single task.
 
 Texts longer than ``max_len`` words are cut into whole pieces of ``max_len`` and a rest.
 Cases: null or empty texts have no words and take no place; rows repeated under one doc_id are
-packed once for each row; a null doc_id is packed as null; an empty table gives an empty result.
-Ties of length are ordered by doc_id and piece; repeated rows in no particular order.
+packed once for each row; a null doc_id is packed as null; texts of any length are packed whole, in
+pieces; an empty table gives an empty result; other columns, of whatever name, are ignored.
+Ties of length are ordered by doc_id and piece; repeated rows cannot be told apart in the result.
 """
 
 from __future__ import annotations

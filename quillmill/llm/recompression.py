@@ -2,9 +2,11 @@
 
 Every text becomes a string of symbols, at first its words.  A round replaces runs of one symbol and
 then pairs (a, b), where this round's coin calls a "left" and b "right", by new symbols.  A symbol's
-name is a function of what it stands for, so all executors name runs and pairs alike without having
-to meet, and equal passages have equal symbols inside.  Symbols of ``frozen`` words or more stay as
-they are; after the rounds a text is a string of high-level symbols.
+name is a 64-bit hash of what it stands for, so all executors name runs and pairs alike in every round
+without having to meet, and equal passages have equal symbols inside; a Spark round for each would move
+the whole text again, several times the input.  Symbols of ``frozen`` words or more stay as they are;
+after the rounds a text is a string of symbols of about 8 to 15 words, and a segment of these, named by
+all its symbols, is the highest level: a segment that occurs twice verifies all its windows at once.
 
 1. Symbols, and *segments* (the symbols that hold all windows of ``least`` words that start in one
    symbol), are counted over the corpus.
@@ -14,11 +16,12 @@ they are; after the rounds a text is a string of high-level symbols.
 3. The windows left over (at the ends of repeats, and where no symbol decides) are compared by their
    own hashes, together with those of one segment of each kind that repeats.
 
-So the result is exact, whatever the texts: all maximal spans of which every window of ``least``
+So the result is exact up to 64-bit hashes, whatever the texts: all maximal spans of which every window of ``least``
 words occurs at least twice.  Cases: null and empty texts and texts of fewer than ``least`` words
 have no spans; rows without a doc_id are left out; repeated rows of one doc_id and text count once;
-several texts of one doc_id are reported each; a passage that overlaps its own repeat counts; an
-empty table gives an empty result; other columns are ignored.
+several texts of one doc_id are reported each; a passage that overlaps its own repeat counts; texts of
+any length are read whole; a doc_id must be an integer or a number in text form; an empty table gives an
+empty result; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations

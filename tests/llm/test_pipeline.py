@@ -74,3 +74,32 @@ def test_cut_against_brute_force(spark):
             want[d] = [x for i, x in enumerate(w) if i not in gone]
         got = {r.doc_id: r.text.split() for r in suffix_repeats.without_repeats(docs, least=least).collect()}
         assert got == {d: w for d, w in want.items() if w}
+
+
+EDGES = "doc_id bigint, text string, lang string, source string, n_chars bigint, toxic string, item_id string"
+
+
+def run_on(spark, folder, rows, labels, items):
+    spark.createDataFrame(rows, EDGES).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    assert run_on(spark, tmp_path, [], [], []) == []
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated rows, shared and missing doc_ids, ties, a long text, columns with clashing names."""
+    rnd = random.Random(3)
+    text = lambda n: " ".join(f"{rnd.choice('bcdfg')}{rnd.randint(0, 9000)}" for _ in range(n))
+    a, b, c, long, item = text(80), text(80), text(80), text(30_000), text(40)
+    docs = [(1, a), (1, a), (2, a), (3, b), (3, c), (4, None), (5, ""), (6, long), (None, b), (None, text(20)), (None, None), (7, f"{text(9)} {item}"), (8, f"{text(9)} {item}"), (8, text(90))]
+    rows = [(d, t, "en", "s", None, "x", "y") for d, t in docs]
+    packed = run_on(spark, tmp_path, rows, [(1, None, None), (None, 1, 1), (2, 0, 0)], [(1, item), (2, None), (3, "")])
+    words: dict = {}
+    for r in packed:
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.n_words
+    # 2 is a copy of 1; b in a row without a doc_id comes after 3 and is cut; 7 and 8 hold the benchmark.
+    assert words == {1: 160, 3: 160, 6: 30_000, None: 20}

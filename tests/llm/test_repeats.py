@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from quillmill.llm import recompression, suffix_repeats
+from quillmill.llm import core, recompression, suffix_repeats
 
 SCHEMA = "doc_id bigint, text string, tokens int, name string"
 
@@ -106,3 +106,31 @@ def test_long_text(spark):
     text = " ".join(f"v{i % 997}" for i in range(60_000))
     docs = spark.createDataFrame([(1, text, 0, ""), (2, "x " + text, 0, "")], SCHEMA)
     assert {tuple(r) for r in recompression.repeated_spans(docs).collect()} == {(1, 0, 60_000), (2, 1, 60_000)}
+
+
+def test_few_windows_are_compared_in_long_repeats(spark, monkeypatch):
+    """Segments verify a long passage: its windows are hashed once, for one of its copies, and at its ends."""
+    frames = {}
+    kept = core.kept
+    monkeypatch.setattr(core, "kept", lambda df, name: frames.setdefault(name, kept(df, name)))
+    rnd = random.Random(5)
+    word = lambda: f"x{rnd.randint(0, 50_000)}"
+    passage = [word() for _ in range(4000)]
+    docs = [(d, " ".join([word() for _ in range(60)] + passage + [word() for _ in range(60)]), 0, "") for d in range(8)]
+    spans = recompression.repeated_spans(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {tuple(r) for r in spans} == {(d, 60, 4000) for d in range(8)}
+    compared = sum(len(r.payload) // 21 for r in frames["windows"].where("kind = 0").collect())
+    assert 0 < compared < 0.25 * 8 * 4000
+
+
+@pytest.mark.parametrize("make", ["spans", "repeats"])
+def test_hot_passage_and_clashing_columns(spark, make):
+    """One passage is in most documents, beside columns named like those used inside."""
+    rnd = random.Random(6)
+    line = " ".join(f"hot{i}" for i in range(12))
+    docs = [(d, f"{' '.join(f'y{rnd.randint(0, 900)}' for _ in range(rnd.randint(0, 9)))} {line}", 1, 2, 3) for d in range(120)] + [(200, None, 0, 0, 0), (201, "", 0, 0, 0)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, name int, bucket int, kind int")
+    if make == "spans":
+        assert {tuple(r) for r in recompression.repeated_spans(df, least=8).collect()} == windows([r[:2] for r in docs], 8)
+    else:
+        assert set(groups(suffix_repeats.maximal_repeats(df, least=8))) == maximal([r[:2] for r in docs], 8)
