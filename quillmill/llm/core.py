@@ -73,6 +73,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted: plain np.unique hashes, which is much slower than sorting."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Words:
     """Hashed words of some texts: document ``d`` owns ``hash[off[d]:off[d + 1]]``."""
 

@@ -194,7 +194,7 @@ def _match(items: list, first: np.ndarray, query: np.ndarray, vocab: np.ndarray,
                 continue
             # Windows with these postings start less than a span before the last and not after the first.
             lo, hi = m[i + held - 1] - span + 1, m[i] + 1
-            begin = np.unique(np.concatenate([_between(x, lo, hi) for x in got]))
+            begin = core.distinct(np.concatenate([_between(x, lo, hi) for x in got]))
             stop = np.minimum(begin + span, ends[begin])
             share = np.zeros(len(begin), dtype=np.int64)
             for x in got:

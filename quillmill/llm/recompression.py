@@ -220,7 +220,7 @@ def _windows(least: int, buckets: int):
         fnode, fpos, fkind = core.unpack(flags, ["i8", "u4", "u1"])
         o = np.lexsort((fpos, fnode))
         fnode, fpos, fkind = fnode[o], fpos[o].astype(np.int64), fkind[o]
-        known = np.unique(fnode)
+        known = core.distinct(fnode)
         done: set[int] = set()
         windows, stretches = core.Packer(buckets), core.Packer(buckets)
 

@@ -156,7 +156,7 @@ def _regions(least: int, gram: int):
         for t in texts:
             for n, d in zip(t.column("name").to_pylist(), t.column("doc_id").to_pylist()):
                 ids.setdefault(n, set()).add(d)
-        known = np.unique(name)
+        known = core.distinct(name)
         done: set[int] = set()
         for t in texts:
             names = t.column("name").to_pylist()

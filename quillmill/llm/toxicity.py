@@ -71,7 +71,7 @@ def _features(sizes: tuple[int, ...], bits: int):
         for batch in batches:
             for b in core.slices(batch):
                 found = [d * (1 << bits) + k for k, d in ((k[d >= 0], d[d >= 0]) for k, d in grams_of(b.column("text"), sizes, bits))]
-                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+                keys = core.distinct(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
                 edge = np.searchsorted(keys, np.arange(b.num_rows + 1) << bits)
                 low = (keys & ((1 << bits) - 1)).astype(np.uint32)
                 body = [low[i:j].tobytes() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist())]
@@ -202,7 +202,7 @@ def _score(weights: np.ndarray, intercept: float, sizes: tuple[int, ...], bits:
                     at = np.flatnonzero(used[key] & (doc >= 0))
                     found.append(doc[at] * (1 << bits) + key[at])
                 if found:
-                    k = np.unique(np.concatenate(found))
+                    k = core.distinct(np.concatenate(found))
                     total += np.bincount(k >> bits, weights[k & ((1 << bits) - 1)], b.num_rows)
                 p = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
                 yield pa.record_batch([b.column("doc_id"), pa.array(p)], names=["doc_id", "toxicity"])
