@@ -36,7 +36,7 @@ def _esc(p: str) -> str:
 
 
 _PRIORITY = "CASE " + " ".join(f"WHEN core IN {_in(r.words)} THEN {r.priority}" for r in lexicon.ENGLISH.rules if isinstance(r, lexicon.WordClassRule)) + " END"
-_URL = r"(?:https?://|www\.)[^\s<>()\[\]]+|\S+@\S+\.\S+"
+_URL = spans.URL.removeprefix("(?U)")
 
 
 def _rewritten(column: str) -> str:
