@@ -38,6 +38,7 @@ MIN_TEXTS = 4
 #: Weight of the squared weights beside the mean loss of ``n`` texts, times n.
 PENALTY = 0.01
 EMPTY = 0.05
+FIT_TEXTS = 256  # at once
 THRESHOLD = 0.6
 
 _MODEL = "feature bigint, weight double"
@@ -81,7 +82,7 @@ def _features(sizes: tuple[int, ...], bits: int):
 
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int, least_sure: float, min_texts: int, penalty: float) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """(features, weights times ratios, intercept) of texts given by their features."""
+    """(features, weights times ratios, intercept) of texts given by their features; uses up ``rows``."""
     if not toxic.any() or toxic.all():
         return None
     # A text's features are distinct, so counts grow row by row and no joined copy is held.
@@ -94,27 +95,35 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int, least_sure: float,
     chosen = np.flatnonzero(sure >= least_sure)
     place = np.full(1 << bits, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    cols = [c[c >= 0] for c in (place[ids] for ids in rows)]
     n, y = len(rows), toxic.astype(np.float64)
-    row, col = np.repeat(np.arange(n), [len(c) for c in cols]), np.concatenate(cols)
-    del cols
-    x = r[chosen][col]
+    # Places of the chosen features, text by text; nothing else grows with them.
+    for k, ids in enumerate(rows):
+        c = place[ids]
+        rows[k] = c[c >= 0]
+    count = np.array([len(c) for c in rows])
+    col = np.concatenate(rows)
+    rows.clear()
+    edge = np.concatenate([[0], np.cumsum(count)])
+    cuts = [*range(0, n, FIT_TEXTS), n]
+    ratio = r[chosen]
     share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())  # both classes weigh alike
-    heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
-    of = row[heads]
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        w, b = v[:-1], v[-1]
-        z = np.full(n, b)
-        if len(heads):
-            z[of] += np.add.reduceat(x * w[col], heads)
-        g = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        w, b, f = v[:-1], v[-1], 0.0
+        weight, down, slope = ratio * w, np.zeros(len(w)), 0.0
+        for i, j in zip(cuts, cuts[1:]):
+            mine = col[edge[i] : edge[j]]
+            z = np.full(j - i, b) + np.bincount(np.repeat(np.arange(j - i), count[i:j]), weight[mine], j - i)
+            g = share[i:j] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[i:j])
+            down += np.bincount(mine, np.repeat(g, count[i:j]), len(w))
+            slope += g.sum()
+            f += float((share[i:j] * (np.logaddexp(0, z) - y[i:j] * z)).sum())
         empty = EMPTY / (1 + np.exp(-np.clip(b, -500, 500)))
-        down = np.append(np.bincount(col, x * g[row], len(w)) + penalty / n * w, g.sum() + empty)
-        return float((share * (np.logaddexp(0, z) - y * z)).sum() + EMPTY * np.logaddexp(0, b) + penalty / n / 2 * (w @ w)), down
+        f += EMPTY * np.logaddexp(0, b) + penalty / n / 2 * (w @ w)
+        return f, np.append(ratio * down + penalty / n * w, slope + empty)
 
     v = minimum(loss, np.zeros(len(chosen) + 1))
-    return chosen, v[:-1] * r[chosen], float(v[-1])
+    return chosen, v[:-1] * ratio, float(v[-1])
 
 
 def minimum(loss, v: np.ndarray, *, steps: int = 200, memory: int = 10, close: float = 1e-6) -> np.ndarray:
