@@ -65,7 +65,11 @@ _HINTS = tuple(
 
 @dataclass(frozen=True)
 class Rule:
-    """A named rule.  ``rewrite`` changes a text, ``priority_of`` nominates words by their core (null: no)."""
+    """A named rule.
+
+    ``rewrite`` changes a text, ``priority_of`` nominates words by their core (null: no), ``nominate`` gives an
+    array of priorities for a text's cores, where a word's place or neighbours matter.
+    """
 
     name: str
 
@@ -75,6 +79,9 @@ class Rule:
     def priority_of(self, core: Column) -> Column | None:
         return None
 
+    def nominate(self, cores: Column) -> Column | None:
+        return None
+
 
 @dataclass(frozen=True)
 class WordClassRule(Rule):
@@ -143,6 +150,8 @@ class RuleSet:
 
     def __init__(self, *rules: Rule) -> None:
         names = [r.name for r in rules]
+        if not all(isinstance(n, str) and n.strip() for n in names):
+            raise ValueError("a rule needs a name")
         twice = sorted({n for n in names if names.count(n) > 1})
         if twice:
             raise ValueError(f"rule names occur twice: {', '.join(twice)}")
@@ -175,9 +184,11 @@ class RuleSet:
             self[n]
         return RuleSet(*(r for r in self._rules if r.name not in names))
 
-    def replace(self, rule: Rule) -> RuleSet:
-        self[rule.name]
-        return RuleSet(*(rule if r.name == rule.name else r for r in self._rules))
+    def replace(self, *rules: Rule) -> RuleSet:
+        new = {r.name: r for r in RuleSet(*rules)}
+        for name in new:
+            self[name]
+        return RuleSet(*(new.get(r.name, r) for r in self._rules))
 
 
 @dataclass(frozen=True)

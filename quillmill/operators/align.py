@@ -231,6 +231,12 @@ def read_shards(spark, path: str) -> DataFrame:
     return spark.read.schema("words array<string>, labels array<int>, shard string").json(path)
 
 
+def copy_shards(spark, source: str, target: str) -> DataFrame:
+    """Prepared shards from one folder to another, wherever these lie; gives what is there then."""
+    read_shards(spark, source).write.mode("overwrite").partitionBy("shard").json(target)
+    return read_shards(spark, target)
+
+
 def score_teachers(samples: DataFrame, *, key: str = "doc_id", model: str = "model") -> DataFrame:
     """One row a model of (model, key, original, output) rows: means of the measures, self-consistency, failures."""
     head = r"(?i)\A\s*(?:```\w*\n|#+[^\n]*\n+|\*\*[^\n]*\*\*\n+|(?:below is|here (?:are|is))[^\n]*\n+)+"

@@ -199,7 +199,9 @@ def chunk_rows(docs: DataFrame, key: str, text: str, max_tokens: int = MAX_TOKEN
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
         for b in batches:
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -216,7 +218,10 @@ def chunk_rows(docs: DataFrame, key: str, text: str, max_tokens: int = MAX_TOKEN
 
 
 def rejoin_rows(rows: DataFrame, key: str, language, check: bool) -> DataFrame:
-    """Rows with ``_out`` and ``_dropped`` of each chunk, as documents with ``RESULT``."""
+    """Rows with ``_out`` and ``_dropped`` of each chunk, as documents with ``RESULT``.
+
+    A document's rows must be neighbours, in order; rows that aren't are an error, not another document.
+    """
     kind = rows.schema["_key"].dataType.simpleString()
     names = ["_key", "_doc", "_n", "_of", "_text", "_body", "_raw", "_sep", "_prefix", "_spans", "_out", "_dropped"]
     vocabulary = V.vocabulary(language)
@@ -227,6 +232,8 @@ def rejoin_rows(rows: DataFrame, key: str, language, check: bool) -> DataFrame:
 
         def result(part: list[tuple]) -> tuple:
             k, original = part[0][0], part[0][4]
+            if len(part) != max(1, part[0][3]) or any(r[2] != i for i, r in enumerate(part)):
+                raise ValueError("a document's chunks are not together: its backend moves rows and must say so with keeps_order = False")
             if original is None:
                 return (k, *[None] * 9)
             if not part[0][3]:
@@ -257,3 +264,19 @@ def rejoin_rows(rows: DataFrame, key: str, language, check: bool) -> DataFrame:
             yield batch([result(held)])
 
     return rows.select(*names).mapInArrow(run, f"{key} {kind}, {RESULT}")
+
+
+def merge_metadata(parts: list[dict]) -> dict:
+    """What the chunks of a document say together: whole numbers add up, lists follow each other, anything else is the first's."""
+    out: dict = {}
+    for part in parts:
+        for key, value in part.items():
+            old = out.get(key)
+            counts = isinstance(value, int) and not isinstance(value, bool)
+            if key not in out:
+                out[key] = list(value) if isinstance(value, (list, tuple)) else value
+            elif counts and isinstance(old, int) and not isinstance(old, bool):
+                out[key] = old + value
+            elif isinstance(value, (list, tuple)) and isinstance(old, list):
+                out[key] = [*old, *value]
+    return out

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as T
 
 CHECKS = ("negation lost", "negation kept", "numbers missing", "entities missing")
@@ -28,6 +31,28 @@ def totals(results: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def compare(docs: DataFrame, backends: dict, rates: tuple[float, ...] = RATES) -> DataFrame:
+    """Faithfulness of each backend at each rate, with the seconds that a document took.
+
+    ``backends``: name -> function (docs, rate) -> compress_documents rows.  Each run is written once and timed.
+    """
+    rows = None
+    for name, run in backends.items():
+        for rate in rates:
+            began = time.monotonic()
+            done = storage.kept(run(docs, rate).select("original_tokens", "compressed_tokens", "ratio", "warnings"), "run")
+            took = time.monotonic() - began
+            one = faithfulness(done.withColumns({"backend": F.lit(name), "rate": F.lit(float(rate))}), "backend", "rate")
+            one = one.withColumn("seconds_per_document", F.lit(took) / F.greatest(F.lit(1), F.col("documents")))
+            rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def evaluate_backend(docs: DataFrame, run, rates: tuple[float, ...] = RATES, *, name: str = "backend") -> list[dict]:
+    """``compare`` of one backend, by falling rate."""
+    return [r.asDict() for r in compare(docs, {name: run}, rates).orderBy(F.desc("rate")).collect()]
+
+
 def load_qa(rows: DataFrame, *, limit: int | None = None) -> DataFrame:
     """(idx, context, n, question, answer) of rows with prompt and QA_pairs (array of structs or JSON)."""
     pairs = F.from_json("QA_pairs", "array<struct<question: string, answer: string>>") if dict(rows.dtypes)["QA_pairs"] == "string" else F.col("QA_pairs")
@@ -85,3 +110,19 @@ def to_svg(rows: list[dict], metric: str = "f1", width: int = 640, height: int =
         else:
             parts.append(f'<circle cx="{x(r["ratio"]):.1f}" cy="{y(r[metric]):.1f}" r="4"/><text x="{x(r["ratio"]) + 6:.1f}" y="{y(r[metric]) - 6:.1f}">{r["backend"]} {r["rate"]:g}</text>')
     return "".join([*parts, "</svg>"])
+
+
+def render_charts(rows: list[dict], folder: str, metrics: tuple[str, ...] = ("f1", "exact_match", "warnings_per_doc", "doc_negation_loss_rate")) -> list[str]:
+    """One SVG for each metric that the rows have; gives the paths."""
+    from pathlib import Path
+
+    out = Path(folder)
+    out.mkdir(parents=True, exist_ok=True)
+    paths = []
+    for m in metrics:
+        some = [r for r in rows if r.get(m) is not None]
+        if some:
+            top = max(1.0, max(float(r[m]) for r in some))  # counts are drawn as shares of the largest
+            (out / f"{m}.svg").write_text(to_svg([{**r, m: float(r[m]) / top} for r in some], m), encoding="utf-8")
+            paths.append(str(out / f"{m}.svg"))
+    return paths

@@ -35,13 +35,15 @@ def compress_documents(
 ) -> DataFrame:
     """(key, compressed, token counts, ratio, warnings, counts of chunks and dropped words) of each document.
 
-    No shuffle: chunks are rows between two steps of one stage.  A null text gives nulls.
+    No shuffle, unless the backend moves rows: chunks are rows between two steps of one stage.  A null text gives nulls.
     """
     rate = rules.check_rate(rate)
     preserve = {k: bool(options.pop(k)) for k in PRESERVE if k in options}
     made = _backend(backend, backend_kwargs, options)
     rows = chunking.chunk_rows(docs, key, text, chunk_tokens, **preserve)
     done = made.compress(rows, rate, "_body", "_out").withColumnRenamed("_out_dropped", "_dropped")
+    if not made.keeps_order:
+        done = done.repartition("_doc").sortWithinPartitions("_doc", "_n")
     return chunking.rejoin_rows(done, key, made.language, verify).withColumn("backend", F.lit(made.name))
 
 

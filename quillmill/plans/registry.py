@@ -28,6 +28,8 @@ class Backend:
     requires_configuration = False
     construction_only: tuple[str, ...] = ()
     language: str | lexicon.Language = "en"
+    #: Whether ``compress`` leaves rows where they are; else they are brought together again by an exchange.
+    keeps_order = True
 
     @classmethod
     def is_available(cls) -> bool:
@@ -125,6 +127,7 @@ class RankerBackend(Backend):
 
     def __init__(self, *, scorer: ranker.Scorer = ranker.length_scores, language: str | lexicon.Language = "en", force_tokens=frozenset()) -> None:
         self.scorer, self.language, self.force = scorer, lexicon.get_language(language), frozenset(force_tokens)
+        self.keeps_order = not getattr(scorer, "moves_rows", False)
 
     def compress(self, rows: DataFrame, rate: float, text: str, out: str) -> DataFrame:
         return ranker.select(rows, rate, text=text, out=out, scorer=self.scorer, language=self.language, force_tokens=self.force)
@@ -138,6 +141,7 @@ class CascadeBackend(Backend):
 
     def __init__(self, *, scorer: ranker.Scorer = ranker.length_scores, language: str | lexicon.Language = "en") -> None:
         self.scorer, self.language = scorer, lexicon.get_language(language)
+        self.keeps_order = not getattr(scorer, "moves_rows", False)
 
     def compress(self, rows: DataFrame, rate: float, text: str, out: str) -> DataFrame:
         done = ranker.cascade(rows, rate, text=text, out=out, scorer=self.scorer, language=self.language)
