@@ -12,7 +12,7 @@ from ..shipping import ship
 from ..storage import spread_over_cores
 from . import api
 
-RATE, LOW_RATE = 0.5, 0.33
+RATE, LOW_RATE, CASCADE_RATE = 0.5, 0.33, 0.45
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,11 +146,12 @@ def ranker_select(spark, sf_dir):
 
 def ranker_idf(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return ranker.select(docs, LOW_RATE, scorer=ranker.idf_scorer(docs)).select("doc_id", "compressed", "compressed_dropped")
+    return ranker.select(docs, LOW_RATE, scorer=ranker.idf_scorer(docs)).selectExpr("doc_id", "compressed", "CAST(compressed_dropped AS BIGINT) AS compressed_dropped")
 
 
 def cascade(spark, sf_dir):
-    return ranker.cascade(documents(spark, sf_dir), 0.45).select("doc_id", "compressed", "compressed_dropped", "compressed_rules_ratio", "compressed_inner")
+    done = ranker.cascade(documents(spark, sf_dir), CASCADE_RATE)
+    return done.selectExpr("doc_id", "compressed", "CAST(compressed_dropped AS BIGINT) AS compressed_dropped", "compressed_rules_ratio", "compressed_inner")
 
 
 def sentences(spark, sf_dir):
@@ -245,13 +246,14 @@ _ANSWER = r"array_to_string(list_filter(string_split(regexp_replace(regexp_repla
 _NEG_PIN = f"core LIKE '%n''t' OR core IN {_in(lexicon.NEGATIONS)}"
 
 
-def _selection(pinned: str) -> str:
-    return rf"""u AS (SELECT doc_id, len(us) AS n, unnest(us) AS w, generate_subscripts(us, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\n+|\S+') AS us FROM documents)),
-c AS (SELECT *, lower(trim(w, '{_MARKS}')) AS core FROM u),
-p AS (SELECT *, regexp_matches(w, '^[\n#>|]') OR {pinned} OR core = '' OR regexp_matches(w, '(^|[^\pL\pN\pM_.])[vV]?\d+([.,]\d+)*%?($|[^\pL\pN\pM_])') AS pin FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pin ORDER BY len(core) DESC, pos) AS rank, greatest(1, least(n, CAST(round_even(CAST({LOW_RATE} AS DOUBLE) * n, 0) AS BIGINT))) - count(*) FILTER (pin) OVER (PARTITION BY doc_id) AS room FROM p),
+def _selection(pinned: str, docs: str = "documents", rate: str = f"CAST({LOW_RATE} AS DOUBLE)", order: str = "len(core) DESC", more: str = "", ranked: str = "p") -> str:
+    """``selected`` (doc_id, compressed, dropped) of ``docs`` (doc_id, text); ``more`` may make ``ranked`` of p."""
+    return rf"""u AS (SELECT doc_id, {rate} AS keep, len(us) AS n, unnest(us) AS w, generate_subscripts(us, 1) - 1 AS pos FROM (SELECT *, regexp_extract_all(text, '\n+|\S+') AS us FROM {docs})),
+c1 AS (SELECT *, lower(trim(w, '{_MARKS}')) AS core FROM u),
+p AS (SELECT *, regexp_matches(w, '^[\n#>|]') OR {pinned} OR core = '' OR regexp_matches(w, '(^|[^\pL\pN\pM_.])[vV]?\d+([.,]\d+)*%?($|[^\pL\pN\pM_])') AS pin FROM c1),
+{more}r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pin ORDER BY {order}, pos) AS rank, greatest(1, least(n, CAST(round_even(keep * n, 0) AS BIGINT))) - count(*) FILTER (pin) OVER (PARTITION BY doc_id) AS room FROM {ranked}),
 k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) FILTER (pin OR rank <= room) AS t, count(*) FILTER (NOT (pin OR rank <= room)) AS dropped FROM r GROUP BY doc_id),
-selected AS (SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE regexp_replace(t, ' ?(\n+) ?', '\1', 'g') END AS compressed, CASE WHEN d.text IS NOT NULL THEN coalesce(dropped, 0) END AS dropped FROM documents d LEFT JOIN k USING (doc_id))"""
+selected AS (SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE regexp_replace(t, ' ?(\n+) ?', '\1', 'g') END AS compressed, CASE WHEN d.text IS NOT NULL THEN coalesce(dropped, 0) END AS dropped FROM {docs} d LEFT JOIN k USING (doc_id))"""
 
 
 def _by_rules(rate: float) -> str:
@@ -283,6 +285,21 @@ SELECT n.lang, n_tokens, coalesce(dropped, 0) AS dropped, CAST(r.rate AS DOUBLE)
     "negation_pileups": rf"""WITH w AS (SELECT doc_id, trim(unnest(ws), '.,;:!?') AS x, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS ws FROM documents)),
 g AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM w WHERE {_NEG_OK}), n AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL)
 SELECT doc_id, max(n) AS longest FROM n GROUP BY doc_id""",
+    # The rarer a word is, the higher is its score: the order by document counts is the order by scores.
+    "ranker_idf": "WITH "
+    + _selection(
+        _NEG_PIN, order="df", ranked="rare",
+        more="freq AS (SELECT core, count(DISTINCT doc_id) AS df FROM c1 WHERE w NOT LIKE chr(10) || '%' GROUP BY core), rare AS (SELECT p.*, coalesce(f.df, 1) AS df FROM p LEFT JOIN freq f ON f.core = p.core), ",
+    )
+    + " SELECT doc_id, compressed, dropped AS compressed_dropped FROM selected",
+    "cascade": f"""WITH {_by_rules(0.33)},
+first AS MATERIALIZED (SELECT b.doc_id, b.compressed AS text, b.dropped AS gone, d.text AS original,
+  greatest(CAST(0.000001 AS DOUBLE), CAST(len(regexp_extract_all(b.compressed, '\\S+')) AS DOUBLE) / greatest(1, len(regexp_extract_all(d.text, '\\S+')))) AS survived FROM by_rules b JOIN documents d ON d.doc_id = b.doc_id),
+inner_ AS (SELECT *, least(CAST(1 AS DOUBLE), CAST({CASCADE_RATE} AS DOUBLE) / survived) AS rest FROM first),
+{_selection(_NEG_PIN, docs="inner_", rate="rest")}
+SELECT i.doc_id, CASE WHEN regexp_full_match(original, '\\s*') THEN original WHEN rest >= 1 THEN i.text ELSE compressed END AS compressed,
+  gone + CASE WHEN rest >= 1 THEN 0 ELSE dropped END AS compressed_dropped, round(survived, 4) AS compressed_rules_ratio, round(rest, 4) AS compressed_inner
+FROM inner_ i JOIN selected s ON s.doc_id = i.doc_id""",
     "ranker_select": f"WITH {_selection(_NEG_PIN)} SELECT doc_id, compressed, dropped FROM selected",
     "hard_split_bins": rf"SELECT doc_id, CAST(floor(pos / {chunking.MAX_TOKENS}) AS BIGINT) AS bin, count(*) AS n_words FROM (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents)) GROUP BY ALL",
     "protect_roundtrip": "SELECT page_id, html AS restored FROM pages",
