@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ def _esc(p: str) -> str:
 
 _PRIORITY = "CASE " + " ".join(f"WHEN core IN {_in(r.words)} THEN {r.priority}" for r in lexicon.ENGLISH.rules if isinstance(r, lexicon.WordClassRule)) + " END"
 _URL = spans.URL.removeprefix("(?U)")
+_CODE = spans.INLINE_CODE.replace("\n", r"\n")
 
 
 def _rewritten(column: str) -> str:
@@ -165,8 +167,17 @@ def sentences(spark, sf_dir):
 
 
 def hard_split_bins(spark, sf_dir):
-    words = documents(spark, sf_dir).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("pos", "w"))
-    return words.groupBy("doc_id", F.floor(F.col("pos") / chunking.MAX_TOKENS).alias("bin")).agg(F.count("*").alias("n_words"))
+    """The chunker's hard split of whole texts: words of each piece."""
+    ship(spark)
+
+    def run(batches):
+        for b in batches:
+            pieces = [chunking._bins(t.split(), chunking.MAX_TOKENS) if t else [] for t in b.column("text").to_pylist()]
+            rows = [(d, k, len(p.split())) for d, ps in zip(b.column("doc_id").to_pylist(), pieces) for k, p in enumerate(ps)]
+            if rows:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "bin", "n_words"])
+
+    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(run, "doc_id bigint, bin bigint, n_words bigint")
 
 
 def chunk_documents(spark, sf_dir):
@@ -175,11 +186,14 @@ def chunk_documents(spark, sf_dir):
 
 
 def protect_roundtrip(spark, sf_dir):
+    """Pages with their spans behind placeholders and back, and how many spans of the first two kinds there were."""
     df = table(spark, sf_dir, "pages").select("page_id", "html", F.col("html").alias("_t"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("_s"))
-    for p in (spans.INLINE_CODE, spans.URL, spans.IDENTIFIER, spans.COMPOUND_NUMBER):
+    for p, n in ((spans.INLINE_CODE, "n_code"), (spans.URL, "n_code_and_urls"), (spans.IDENTIFIER, "n3"), (spans.COMPOUND_NUMBER, "n_spans")):
         text, stash = spans.protect(F.col("_t"), F.col("_s"), p, "c")
         df = df.withColumns({"_t": text, "_s": stash})
-    return df.select("page_id", spans.restore(F.col("_t"), F.col("_s"), "c").alias("restored"))
+        df = df.withColumn(n, F.size("_s").cast("bigint"))
+    placeholders = F.size(F.regexp_extract_all("_t", F.lit("(" + spans.PLACEHOLDER.removeprefix("(?i)") + ")"), F.lit(1))).cast("bigint")
+    return df.select("page_id", spans.restore(F.col("_t"), F.col("_s"), "c").alias("restored"), "n_code", "n_code_and_urls", (placeholders == F.col("n_spans")).alias("all_replaced"))
 
 
 def compress_documents(spark, sf_dir):
@@ -302,7 +316,9 @@ SELECT i.doc_id, CASE WHEN regexp_full_match(original, '\\s*') THEN original WHE
 FROM inner_ i JOIN selected s ON s.doc_id = i.doc_id""",
     "ranker_select": f"WITH {_selection(_NEG_PIN)} SELECT doc_id, compressed, dropped FROM selected",
     "hard_split_bins": rf"SELECT doc_id, CAST(floor(pos / {chunking.MAX_TOKENS}) AS BIGINT) AS bin, count(*) AS n_words FROM (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents)) GROUP BY ALL",
-    "protect_roundtrip": "SELECT page_id, html AS restored FROM pages",
+    "protect_roundtrip": rf"""WITH c AS (SELECT page_id, html, regexp_extract_all(html, '{_CODE}') AS codes, regexp_replace(html, '{_CODE}', 'QMSPANc0X', 'g') AS t FROM pages),
+v AS (SELECT *, CAST(len(codes) AS BIGINT) AS n_code, len(list_filter(regexp_extract_all(t, '{_URL}'), lambda x: NOT contains(upper(x), 'QMSPAN'))) AS n_urls FROM c)
+SELECT page_id, html AS restored, n_code, n_code + n_urls AS n_code_and_urls, true AS all_replaced FROM v""",
     "qa_scores": rf"""WITH t AS (SELECT role, array_to_string(regexp_extract_all(text, '\S+')[1:4], ' ') AS prediction, text AS answer FROM conversations WHERE text IS NOT NULL),
 n AS (SELECT row_number() OVER () AS id, role, {_ANSWER.format("prediction")} AS p, {_ANSWER.format("answer")} AS g FROM t),
 s AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS ps, list_filter(string_split(g, ' '), lambda x: x <> '') AS gs FROM n),
