@@ -39,6 +39,8 @@ MIN_TEXTS = 4
 PENALTY = 0.01
 EMPTY = 0.05
 FIT_TEXTS = 256  # at once
+#: Bytes of text at once: every sign has several n-grams.
+SLICE_BYTES = 1 << 18
 THRESHOLD = 0.6
 
 _MODEL = "feature bigint, weight double"
@@ -70,7 +72,7 @@ def grams_of(texts: pa.Array, sizes: tuple[int, ...] = GRAMS, bits: int = BITS)
 def _features(sizes: tuple[int, ...], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in core.slices(batch):
+            for b in core.slices(batch, limit=SLICE_BYTES):
                 found = [d * (1 << bits) + k for k, d in ((k[d >= 0], d[d >= 0]) for k, d in grams_of(b.column("text"), sizes, bits))]
                 keys = core.distinct(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
                 edge = np.searchsorted(keys, np.arange(b.num_rows + 1) << bits)
@@ -204,7 +206,7 @@ def _score(weights: np.ndarray, intercept: float, sizes: tuple[int, ...], bits:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in core.slices(batch):
+            for b in core.slices(batch, limit=SLICE_BYTES):
                 total = np.full(b.num_rows, intercept)
                 found = []
                 for key, doc in grams_of(b.column("text"), sizes, bits):
