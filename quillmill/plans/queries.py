@@ -276,6 +276,21 @@ kept AS (SELECT b.doc_id, string_agg(gap || CASE WHEN g.pos IS NULL THEN word EL
 by_rules AS (SELECT d.doc_id, CASE WHEN k.t IS NULL THEN d.text ELSE {_tidied("k.t")} END AS compressed, CASE WHEN d.text IS NOT NULL THEN coalesce(dropped, 0) END AS dropped FROM documents d LEFT JOIN kept k USING (doc_id))"""
 
 
+def _repaired(column: str) -> str:
+    """Detokenisation without look-around: what two matches may share is doubled before and halved after."""
+    w = r"[\pL\pN\pM_]"
+    steps = [
+        (rf"({w})\s+('')\s*({w})", r"\1\2\3"), (rf"({w})\s+(n''t)\b", r"\1\2"),
+        (r"(\d)", r"\1¤\1"), (r"(\d)\s*([.,:/-])\s*(\d)", r"\1\2\3"), (r"(\d)¤\d", r"\1"),
+        (r"\A|\z", " "), (r"([^.,\d])", r"\1\1"), (r"([^.,\d])(\d{1,3})(?:\t\t|  )+(\d{3})([^.,\d])", r"\1\2,\3\4"), (r"([^.,\d])[^.,\d]", r"\1"), (r"\A | \z", ""),
+        (r"(\d)\s+(%)", r"\1\2"), (r"([¥£€$])\s+(\d)", r"\1\2"), (r"\s+([])}%?!:;.,])", r"\1"), (r"([$\[({])\s+", r"\1"), (r"\s+(''s)\b", r"\1"),
+        (r"[\t ]{2,}", " "), (r"[\t ]*\n[\t ]*", "\n"), (r"\n\n\n+", "\n\n"), (r"\A\s+|\s+\z", ""),
+    ]
+    for pattern, by in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{by}', 'gs')"
+    return column
+
+
 def _lost(key: str, counts: str, small: str, source: str) -> str:
     return f"""WITH {small}, small AS (SELECT doc_id, compressed AS text FROM {source}), had AS ({counts.format("documents")}), has AS ({counts.format("small")})
 SELECT had.doc_id, had.{key}, had.n, coalesce(has.n, 0) AS kept FROM had LEFT JOIN has ON had.doc_id = has.doc_id AND had.{key} = has.{key} WHERE coalesce(has.n, 0) < had.n"""
@@ -316,6 +331,7 @@ SELECT i.doc_id, CASE WHEN regexp_full_match(original, '\\s*') THEN original WHE
 FROM inner_ i JOIN selected s ON s.doc_id = i.doc_id""",
     "ranker_select": f"WITH {_selection(_NEG_PIN)} SELECT doc_id, compressed, dropped FROM selected",
     "hard_split_bins": rf"SELECT doc_id, CAST(floor(pos / {chunking.MAX_TOKENS}) AS BIGINT) AS bin, count(*) AS n_words FROM (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents)) GROUP BY ALL",
+    "detok": f"SELECT doc_id, {_repaired('text')} AS repaired FROM documents",
     "protect_roundtrip": rf"""WITH c AS (SELECT page_id, html, regexp_extract_all(html, '{_CODE}') AS codes, regexp_replace(html, '{_CODE}', 'QMSPANc0X', 'g') AS t FROM pages),
 v AS (SELECT *, CAST(len(codes) AS BIGINT) AS n_code, len(list_filter(regexp_extract_all(t, '{_URL}'), lambda x: NOT contains(upper(x), 'QMSPAN'))) AS n_urls FROM c)
 SELECT page_id, html AS restored, n_code, n_code + n_urls AS n_code_and_urls, true AS all_replaced FROM v""",
