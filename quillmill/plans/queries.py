@@ -163,7 +163,7 @@ def sentences(spark, sf_dir):
     def count(text: pd.Series) -> pd.Series:
         return text.map(lambda t: len(chunking.split_sentences(t)) if t is not None else 0)
 
-    return documents(spark, sf_dir).select("doc_id", count("text").alias("n_sentences"))
+    return documents(spark, sf_dir).select("doc_id", count("text").cast("bigint").alias("n_sentences"))
 
 
 def hard_split_bins(spark, sf_dir):
@@ -291,6 +291,9 @@ def _repaired(column: str) -> str:
     return column
 
 
+_ENDING = r"""([\pL\pN\pM]*(?:\.[\pL\pN\pM]*)*)([.!?]+["'')\]]*)\s+"""
+
+
 def _lost(key: str, counts: str, small: str, source: str) -> str:
     return f"""WITH {small}, small AS (SELECT doc_id, compressed AS text FROM {source}), had AS ({counts.format("documents")}), has AS ({counts.format("small")})
 SELECT had.doc_id, had.{key}, had.n, coalesce(has.n, 0) AS kept FROM had LEFT JOIN has ON had.doc_id = has.doc_id AND had.{key} = has.{key} WHERE coalesce(has.n, 0) < had.n"""
@@ -331,6 +334,11 @@ SELECT i.doc_id, CASE WHEN regexp_full_match(original, '\\s*') THEN original WHE
 FROM inner_ i JOIN selected s ON s.doc_id = i.doc_id""",
     "ranker_select": f"WITH {_selection(_NEG_PIN)} SELECT doc_id, compressed, dropped FROM selected",
     "hard_split_bins": rf"SELECT doc_id, CAST(floor(pos / {chunking.MAX_TOKENS}) AS BIGINT) AS bin, count(*) AS n_words FROM (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents)) GROUP BY ALL",
+    # The word before each mark that a blank follows decides whether a sentence ends there.
+    "sentences": rf"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{_ENDING}', 1) AS ws, regexp_extract_all(text, '{_ENDING}', 2) AS ms FROM documents),
+n AS (SELECT doc_id, text, list_transform(range(1, len(ws) + 1), lambda i: NOT ((ms[i][1] = '.' OR ends_with(ws[i], '.')) AND (lower(rtrim(ws[i], '.')) IN {_in(chunking._ABBREVIATIONS)} OR regexp_full_match(rtrim(ws[i], '.'), '\pL')))) AS ends FROM m)
+SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 WHEN regexp_full_match(text, '\s*') THEN 1 ELSE len(list_filter(ends, lambda x: x))
+  + CASE WHEN len(ends) > 0 AND ends[len(ends)] AND regexp_matches(text, '[.!?]["'')\]]*\s+\z') THEN 0 ELSE 1 END END AS BIGINT) AS n_sentences FROM n""",
     "detok": f"SELECT doc_id, {_repaired('text')} AS repaired FROM documents",
     "protect_roundtrip": rf"""WITH c AS (SELECT page_id, html, regexp_extract_all(html, '{_CODE}') AS codes, regexp_replace(html, '{_CODE}', 'QMSPANc0X', 'g') AS t FROM pages),
 v AS (SELECT *, CAST(len(codes) AS BIGINT) AS n_code, len(list_filter(regexp_extract_all(t, '{_URL}'), lambda x: NOT contains(upper(x), 'QMSPAN'))) AS n_urls FROM c)
