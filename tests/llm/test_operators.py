@@ -127,6 +127,31 @@ def test_join_counts_shingles_whose_low_bits_clash():
     assert (out.column("a").to_pylist(), np.frombuffer(out.column("partners")[0].as_py(), np.int64).tolist()) == ([11], [12])
 
 
+def test_join_counts_shingles_in_little_memory(monkeypatch):
+    """A segment's counts are right and take less than five times the bytes of its shingles."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 1 << 20, 1 << 15, dtype=np.uint64) + np.uint64(9) for _ in range(32)]
+    sent, given = [], iter(parts)
+    monkeypatch.setattr(ngram_join, "SEGMENT", 1 << 20)
+    monkeypatch.setattr(ngram_join, "shingles", lambda words, n: (None, next(given).copy()))
+    monkeypatch.setattr(ngram_join.core.Packer, "add", lambda self, *cols: sent.append(cols) or iter(()))
+    batch = pa.record_batch([pa.array(["a"])], names=["text"])
+    tracemalloc.start()
+    try:
+        list(ngram_join._count(3, 4)(iter([batch] * 32)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    many = {k: c for k, c in Counter(np.concatenate(parts).tolist()).items() if c > 1}
+    ((keys, _, counts),) = sent
+    assert dict(zip(keys.tolist()[3:], counts.tolist()[3:])) == many and counts.tolist()[:2] == [32, 1 << 20]
+    assert peak < 5 * 8 * (1 << 20)
+
+
 # -- 4 -----------------------------------------------------------------------------------------
 
 
