@@ -3,7 +3,8 @@
 ``ledger`` scans the texts once and writes the measurements and one BIGINT of failure bits for each
 document to the shared folder.  Policies are versioned masks over those bits: ``apply_policies`` adds
 their verdicts and ``ablation`` counts what each rule removes, by ``bits & mask`` and sums over the few
-different bit patterns.  Both read the stored ledger and never a text.
+different bit patterns.  Both read the stored ledger and never a text, and the registered queries of one
+session share one ledger as long as the files of the table are the same.
 
 Cases: a null text is measured as the empty text; an empty text fails ``too_short`` (its ratios
 are 0); texts of any length are measured whole; repeated rows give repeated ledger rows; a null doc_id
@@ -18,6 +19,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
 from . import core
 
 #: (name, measurement, SQL condition of failure); a rule's place is its bit and never changes.
@@ -100,6 +102,29 @@ def ledger(docs: DataFrame) -> DataFrame:
     return core.kept(measured(docs), "ledger")
 
 
+#: The last ledger, with the session and the files that it is of.
+_last: tuple[tuple, DataFrame] | None = None
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of each of a table's files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of the table ``documents``; the texts are read only if this session hasn't stored that of the same files."""
+    global _last
+    of = (spark, spark.sparkContext.applicationId, shared_folder(spark), _files(spark, f"{sf_dir}/documents.parquet"))
+    if _last is None or _last[0] != of:
+        _last = (of, ledger(core.table(spark, sf_dir, "documents")))
+    return _last[1]
+
+
 def mask_of(rules: Iterable[str]) -> int:
     """The bits of a policy's rules; an unknown rule is an error."""
     return sum(BIT[r] for r in set(rules))
@@ -165,8 +190,8 @@ ABLATION_ORACLE = (
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_policies(ledger(core.table(spark, sf_dir, "documents")))
+    return apply_policies(stored_ledger(spark, sf_dir))
 
 
 def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablation(ledger(core.table(spark, sf_dir, "documents")))
+    return ablation(stored_ledger(spark, sf_dir))

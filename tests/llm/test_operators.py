@@ -566,3 +566,16 @@ def test_toxicity_keeps_rows_of_many_slices():
     none = np.zeros(1 << toxicity.BITS)
     (out,) = toxicity._kept_rows(none, 0.0, toxicity.GRAMS, toxicity.BITS, 0.6, 1)([batch])
     assert out.column("doc_id").to_pylist() == list(range(12))
+
+
+def test_rule_queries_share_one_ledger(spark, tmp_path, monkeypatch):
+    """The texts are scanned once for both queries; other files, under the same path, are scanned again."""
+    made, kept = [], quality_rules.core.kept
+    monkeypatch.setattr(quality_rules.core, "kept", lambda df, name: made.append(name) or kept(df, name))
+    path = str(tmp_path / "documents.parquet")
+    frame(spark, [(1, "plain words are fine here"), (2, "x")]).write.parquet(path)
+    keeps = lambda: {r.doc_id: r.keep_web_v2 for r in quality_rules.query(spark, str(tmp_path)).collect()}
+    short = lambda: next(r.n_failing for r in quality_rules.ablation_query(spark, str(tmp_path)).collect() if (r.policy, r.rule) == ("web_v2", "too_short"))
+    assert keeps() == {1: True, 2: False} and short() == 1 and made == ["ledger"]
+    frame(spark, [(3, "y"), (4, "z"), (5, None)]).write.mode("overwrite").parquet(path)
+    assert short() == 3 and keeps() == {3: False, 4: False, 5: False} and made == ["ledger"] * 2
