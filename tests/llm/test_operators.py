@@ -115,6 +115,33 @@ def test_join_tiles_and_hot_shingles(spark, monkeypatch):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_join_names_near_copies_once():
+    """What copies share is spread over all partitions, but one of these names the pair; texts without candidates stay."""
+    import pyarrow as pa
+
+    rnd, n = random.Random(3), 8
+    words = [f"w{rnd.randint(0, 10**6)}" for _ in range(200)]
+    texts = [" ".join(f"new{i}" if rnd.random() < 0.02 else w for w in words) for i in range(40)]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    (_, known), stats = ngram_join.shingles(ngram_join.core.words_of(pa.array(texts)), 3), {"docs": 40, "shingles": 40 * 198, "equal": 0.0}
+    known, count = np.unique(known, return_counts=True)
+    sent = {}
+    for b in ngram_join._postings(3, n, known[count > 1], count[count > 1], stats, 0.5)([batch]):
+        for k, row in enumerate(b.column("bucket").to_pylist()):
+            sent.setdefault(row, []).append(b.slice(k, 1))
+    named = [p for rows in sent.values() for b in ngram_join._pairs(n, 0.5)(rows) for p in b.column("payload").to_pylist()]
+    found = {(a, x) for b in ngram_join._enough([pa.record_batch([pa.array([0], pa.int32()), pa.array([p])], names=["bucket", "payload"]) for p in named]) for a, y in zip(b.column("a").to_pylist(), b.column("partners").to_pylist()) for x in np.frombuffer(y, np.int64).tolist()}
+    assert len(sent) == n and len(found) == 40 * 39 // 2
+    assert sum(np.frombuffer(p, np.uint32, 2)[1] for p in named) < 3 * len(found)
+
+
+def test_join_moves_few_texts_without_candidates(spark):
+    docs = frame(spark, [(i, f"text {i}") for i in range(2000)] + [(None, "text")])
+    got = [r.doc_id for r in ngram_join._likely(docs, docs.where("doc_id % 100 = 0")).collect()]
+    assert {*range(0, 2000, 100)} <= {*got} and len(got) == len({*got}) < 300
+    assert ngram_join._likely(docs, docs.limit(0)).count() == 0
+
+
 def test_join_counts_shingles_whose_low_bits_clash():
     """Two shingles that look alike in the bits that are sent still are two that a pair shares."""
     import pyarrow as pa
