@@ -323,6 +323,19 @@ def test_lm_scores(spark, shard_words, block_words, parts):
     assert lm_score.score(queries.limit(0), frame(spark, list(enumerate(corpus)))).count() == 0
 
 
+def test_lm_brings_near_copies_together(spark):
+    """Near copies from all partitions mostly meet in one; no row is lost, whatever its text."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"v{rnd.randint(0, 10**6)}" for _ in range(120)) for _ in range(30)]
+    docs = [(100 * i + k, " ".join("new" if rnd.random() < 0.002 else w for w in t.split())) for i, t in enumerate(texts) for k in range(20)]
+    odd = [(None, None), (9001, ""), (9002, " . "), (9003, "one"), (9004, "one two"), (9004, "one two")]
+    df = spark.createDataFrame(docs + odd, "item_id bigint, text string").repartition(5)
+    parts = lm_score._together(df, 8).rdd.glom().map(lambda rows: [(r.item_id, r.text) for r in rows]).collect()
+    assert Counter(x for rows in parts for x in rows) == Counter(docs + odd) and sum(bool(p) for p in parts) > 4
+    most = [max(sum(i is not None and i // 100 == g for i, _ in rows) for rows in parts) for g in range(30)]
+    assert sum(most) > 0.8 * len(docs)
+
+
 def test_lm_scores_of_documents(spark, tmp_path):
     """A twentieth of the documents are the queries: copies, runs of one word and a text of more words than 16 bits count."""
     rnd = random.Random(4)
