@@ -135,6 +135,29 @@ def test_join_names_near_copies_once():
     assert sum(np.frombuffer(p, np.uint32, 2)[1] for p in named) < 3 * len(found)
 
 
+def test_join_sends_few_bytes():
+    """A document takes 17 bytes of each payload of postings; with compression, a pair of near copies takes less than two thirds of a byte besides its nodes' names."""
+    import pyarrow as pa
+
+    rnd, n = random.Random(3), 8
+    words = [f"w{rnd.randint(0, 10**6)}" for _ in range(200)]
+    texts = pa.array([" ".join(f"new{i}" if rnd.random() < 0.02 else w for w in words) for i in range(300)])
+    d, k = ngram_join.shingles(ngram_join.core.words_of(texts), 3)
+    stats = {"docs": 300, "shingles": len(k), "equal": 0.0}
+    known, count = np.unique(k, return_counts=True)
+    batches = [*ngram_join._postings(3, n, known[count > 1], count[count > 1], stats, 0.5)([pa.record_batch([texts], names=["text"])])]
+    payloads = [p for b in batches for p in b.column("payload").to_pylist()]
+    docs, rows = np.sum([np.frombuffer(p, np.uint32, 2) for p in payloads], axis=0).tolist()
+    assert sum(map(len, payloads)) == 8 * len(payloads) + 17 * docs + 6 * rows
+    sent = {}
+    for b in batches:
+        for i, row in enumerate(b.column("bucket").to_pylist()):
+            sent.setdefault(row, []).append(b.slice(i, 1))
+    named = [p for part in sent.values() for b in ngram_join._pairs(n, 0.5)(part) for p in b.column("payload").to_pylist()]
+    nodes, pairs = np.sum([np.frombuffer(p, np.uint32, 2) for p in named], axis=0).tolist()
+    assert pairs >= 300 * 299 // 2 and sum(len(pa.compress(p, codec="lz4", asbytes=True)) for p in named) < 9 * nodes + pairs * 2 / 3
+
+
 def test_join_moves_few_texts_without_candidates(spark):
     docs = frame(spark, [(i, f"text {i}") for i in range(2000)] + [(None, "text")])
     got = [r.doc_id for r in ngram_join._likely(docs, docs.where("doc_id % 100 = 0")).collect()]
