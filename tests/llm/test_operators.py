@@ -205,6 +205,43 @@ def test_join_counts_shingles_whose_low_bits_clash():
     assert (out.column("a").to_pylist(), np.frombuffer(out.column("partners")[0].as_py(), np.int64).tolist()) == ([11], [12])
 
 
+def test_join_pairs_many_copies_in_little_memory():
+    """Pairs of one mark pass through, those with counts are summed range by range, and no row of candidates is wide."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd, copies, m = np.random.default_rng(3), 1200, 30_000
+    sid = rnd.integers(1, 1 << 62, m)
+    mark = np.where(np.arange(m) < copies, 77, 0).astype(np.uint32)
+    h = rnd.integers(0, 2 * m, (m, 20)).astype(np.uint32)
+    h[:copies, :3] = [1, 2, 3]
+    payloads = []
+    for i in range(0, m, 10_000):
+        local = np.repeat(np.arange(10_000), 20).astype(np.uint16) << 2
+        one = [np.array([10_000, 200_000], dtype=np.uint32), sid[i : i + 10_000], np.full(10_000, 100, dtype=np.uint32), np.full(10_000, 2, dtype=np.uint8), local, h[i : i + 10_000].ravel(), mark[i : i + 10_000]]
+        payloads.append(b"".join(x.tobytes() for x in one))
+    batch = pa.record_batch([pa.array([0] * 3, pa.int32()), pa.array(payloads, pa.binary())], names=["bucket", "payload"])
+    tracemalloc.start()
+    sent = [*ngram_join._pairs(1, 0.5)(iter([batch]))]
+    tracemalloc.reset_peak()
+    found, count = [], sum(b.num_rows for b in sent)
+    for b in ngram_join._enough(iter(sent)):
+        partners = [np.frombuffer(x, np.int64) for x in b.column("partners").to_pylist()]
+        assert max(map(len, partners)) <= 512
+        found += [(a, x) for a, ys in zip(b.column("a").to_pylist(), partners) for x in ys.tolist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    shared = {}  # what shares two of its values or more, by value
+    for d, value in zip(np.repeat(np.arange(m), 20).tolist(), h.ravel().tolist()):
+        shared.setdefault(value, []).append(d)
+    several = Counter((x, y) for ds in shared.values() for i, x in enumerate(ds) for y in ds[i + 1 :] if not (x < copies and y < copies))
+    want = {(x, y) for (x, y), n in several.items() if n >= 2} | {(x, y) for y in range(copies) for x in range(y)}
+    name = sid.tolist()
+    assert count and len(found) == len(want) and {frozenset(p) for p in found} == {frozenset((name[x], name[y])) for x, y in want}
+    assert peak < 400 << 20
+
+
 def test_join_counts_shingles_in_little_memory(monkeypatch):
     """A segment's counts are right and take less than five times the bytes of its shingles."""
     import tracemalloc
