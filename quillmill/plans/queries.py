@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -187,13 +189,27 @@ def chunk_documents(spark, sf_dir):
 
 def protect_roundtrip(spark, sf_dir):
     """Pages with their spans behind placeholders and back, and how many spans of the first two kinds there were."""
-    df = table(spark, sf_dir, "pages").select("page_id", "html", F.col("html").alias("_t"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("_s"))
-    for p, n in ((spans.INLINE_CODE, "n_code"), (spans.URL, "n_code_and_urls"), (spans.IDENTIFIER, "n3"), (spans.COMPOUND_NUMBER, "n_spans")):
-        text, stash = spans.protect(F.col("_t"), F.col("_s"), p, "c")
-        df = df.withColumns({"_t": text, "_s": stash})
-        df = df.withColumn(n, F.size("_s").cast("bigint"))
-    placeholders = F.size(F.regexp_extract_all("_t", F.lit("(" + spans.PLACEHOLDER.removeprefix("(?i)") + ")"), F.lit(1))).cast("bigint")
-    return df.select("page_id", spans.restore(F.col("_t"), F.col("_s"), "c").alias("restored"), "n_code", "n_code_and_urls", (placeholders == F.col("n_spans")).alias("all_replaced"))
+    ship(spark)
+    placeholder = re.compile(spans.PLACEHOLDER.replace(r"\d", "[0-9]"))
+
+    def row(html):
+        if html is None:
+            return None, None, None, True
+        text, stash, counts = html, [], []
+        for p in (spans.INLINE_CODE, spans.URL, spans.IDENTIFIER, spans.COMPOUND_NUMBER):
+            text = spans.protected(text, stash, p, "c")
+            counts.append(len(stash))
+        return spans.restored(text, stash, "c"), counts[0], counts[1], len(placeholder.findall(text)) == len(stash)
+
+    def run(batches):
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        for b in batches:
+            rows = [row(t) for t in b.column("html").to_pylist()]
+            cols = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.record_batch([b.column("page_id"), *cols], names=["page_id", "restored", "n_code", "n_code_and_urls", "all_replaced"])
+
+    pages = spread_over_cores(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, restored string, n_code bigint, n_code_and_urls bigint, all_replaced boolean")
 
 
 def compress_documents(spark, sf_dir):
